@@ -1,7 +1,7 @@
 """All queries on training data, by name, and the SQL that states the same."""
 
-from unitquarry.llm import neighbours, splitting
+from unitquarry.llm import neardup, neighbours, splitting
 
-MODULES = [splitting, neighbours]
+MODULES = [splitting, neardup, neighbours]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
