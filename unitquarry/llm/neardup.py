@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -61,7 +62,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def classes_of(rows: DataFrame, *, key: str, text: str, run: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(class, size, runs) of the distinct sets, and (class, id) of the rows.  A class is named by its smallest id."""
+    """(class, runs) of the distinct sets, and (class, id) of the rows.  A class is named by its smallest id."""
     sets = run_sets(run, least)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,33 +77,37 @@ def classes_of(rows: DataFrame, *, key: str, text: str, run: int, least: int) ->
                 digest = [xxhash.xxh3_128_digest(v.tobytes()) for v in values]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(digest, pa.binary()), _lists(values, pa.int64())], ["id", "h", "runs"])
 
-    read_sets = rows.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") >= 2 * least - 1)).mapInArrow(read, "id bigint, h binary, runs array<bigint>")
-    read_sets = cut(read_sets)
-    # Partial maxima of the runs cost no sort: they ride through the aggregate as one value per class.
-    kinds = read_sets.groupBy("h").agg(F.min("id").alias("class"))
-    members = read_sets.select("id", "h").distinct().join(kinds, "h").select("class", "id")
-    sets_of = read_sets.join(kinds, (read_sets["id"] == kinds["class"]) & (read_sets["h"] == kinds["h"])).select("class", F.size("runs").alias("size"), "runs").dropDuplicates(["class"])
-    return sets_of, members
+    usable = rows.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") >= 2 * least - 1))
+    read_sets = usable.mapInArrow(read, "id bigint, h binary, runs array<bigint>")
+    # Reading the words twice costs less than keeping the sets of all copies.
+    kinds = cut(read_sets.groupBy("h").agg(F.min("id").alias("class"), F.any_value("runs").alias("runs")))
+    members = read_sets.select("id", "h").distinct().join(kinds.select("h", "class"), "h").select("class", "id")
+    return kinds.select("class", "runs"), members
 
 
 def _prefix(n: np.ndarray | int, similarity: float):
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
+#: Pairs that are looked at in the time that one row takes to be sent and sorted.
+PAIRS_PER_ROW = 16
+
+
 def choose_boundary(by_size: pd.DataFrame, similarity: float, subset: int) -> int:
-    """The largest size of a small set: the boundary with the least rows to be sent and pairs to be looked at.
+    """The largest size of a small set: the boundary of the least cost, in rows sent; 0 if scanning is cheapest for all.
 
-    ``by_size``: size, sets, and links (the lengths of the inverted lists of these sets' prefixes, summed)."""
+    ``by_size``: size, sets, and links (the lengths of the inverted lists of these sets' prefixes, summed).  A small
+    set sends each subset of its prefix; a large one sends its prefix and looks at a pair for each link."""
     if by_size.empty:
         return 0
     t = by_size.sort_values("size")
     n, sets, links = (t[c].to_numpy(np.float64) for c in ("size", "sets", "links"))
-    p = _prefix(n, similarity).astype(np.float64) + subset - 1
+    p = _prefix(n, similarity).astype(np.float64)
     rows = np.ones(len(p))
     for i in range(subset):
-        rows *= (p - i) / (i + 1)
-    light, heavy = np.cumsum(sets * rows), np.concatenate([np.cumsum(links[::-1])[::-1][1:], [0.0]])
-    cost = np.concatenate([[links.sum()], light + heavy])
+        rows *= (p + subset - 1 - i) / (i + 1)
+    heavy = sets * p + links / PAIRS_PER_ROW
+    cost = np.concatenate([[0.0], np.cumsum(sets * rows)]) + np.concatenate([np.cumsum(heavy[::-1])[::-1], [0.0]])
     best = int(cost.argmin())
     return 0 if best == 0 else int(t["size"].iloc[best - 1])
 
@@ -129,17 +134,28 @@ def similar_classes(sets: DataFrame, *, similarity: float = SIMILARITY, subset:
         """The runs by rarity, each run's counter standing for it; any fixed order is right, the rare ones first are quick."""
         return runs[np.lexsort((runs, shared.value[runs & (COUNTERS - 1)]))]
 
+    def prefixes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, owner, counter) of the prefix runs of a batch of sets."""
+        flat, offs = column.flatten().to_numpy(), column.offsets.to_numpy()
+        size = np.diff(offs)
+        owner, counter = np.repeat(np.arange(len(size)), size), flat & (COUNTERS - 1)
+        order = np.lexsort((flat, shared.value[counter], owner))
+        at = np.arange(len(flat)) - np.repeat(offs[:-1] - offs[0], size)
+        keep = at < np.repeat(_prefix(size, similarity), size)
+        return size, owner[keep], counter[order][keep]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            seen += np.bincount(prefixes(batch.column(0))[2], minlength=COUNTERS)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["counter", "n"])
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, links = np.zeros(SIZES + 1, np.int64), np.zeros(SIZES + 1, np.int64)
         for batch in batches:
-            flat, offs = batch.column(0).flatten().to_numpy(), batch.column(0).offsets.to_numpy()
-            offs = offs - offs[0]
-            size = np.diff(offs)
-            c = shared.value[flat & (COUNTERS - 1)]
-            owner = np.repeat(np.arange(len(size)), size)
-            c = c[np.lexsort((c, owner))]
-            upto = np.concatenate([[0], np.cumsum(c)])
-            own = upto[offs[:-1] + np.minimum(_prefix(size, similarity), size)] - upto[offs[:-1]]
+            size, owner, counter = prefixes(batch.column(0))
+            own = np.bincount(owner, posted.value[counter], len(size))
             at = np.minimum(size, SIZES)
             n += np.bincount(at, minlength=SIZES + 1)
             links += np.bincount(at, own, SIZES + 1).astype(np.int64)
@@ -147,6 +163,10 @@ def similar_classes(sets: DataFrame, *, similarity: float = SIMILARITY, subset:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(links[used])], ["size", "sets", "links"])
 
     if boundary is None:
+        lengths = sets.select("runs").mapInArrow(post, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+        listed = np.zeros(COUNTERS, np.int64)
+        listed[lengths["counter"].to_numpy(np.int64)] = lengths["n"].to_numpy(np.int64)
+        posted = spark.sparkContext.broadcast(listed)
         boundary = choose_boundary(sets.select("runs").mapInArrow(weigh, "size bigint, sets bigint, links bigint").groupBy("size").agg(F.sum("sets").alias("sets"), F.sum("links").alias("links")).toPandas(), similarity, subset)
     last = boundary
     first = next(n for n in range(1, 1000) if ceil(similarity * n - 1e-9) >= subset)  # smaller sets can't share a whole subset
@@ -167,7 +187,7 @@ def similar_classes(sets: DataFrame, *, similarity: float = SIMILARITY, subset:
                             if not first <= n <= last:
                                 continue
                             front = ordered(runs)[: p + subset - 1].view(np.uint64)
-                            pick = np.array(np.triu_indices(len(front), 1)) if subset == 2 else np.array([*__import__("itertools").combinations(range(len(front)), subset)], np.int64).reshape(-1, subset).T
+                            pick = np.array(np.triu_indices(len(front), 1)) if subset == 2 else np.array([*combinations(range(len(front)), subset)], np.int64).reshape(-1, subset).T
                             key = np.zeros(pick.shape[1], np.uint64)
                             for k in range(subset):
                                 key = (key ^ front[pick[k]]) * np.uint64(0x9E3779B97F4A7C15)
@@ -207,7 +227,6 @@ def near_duplicates(rows: DataFrame, *, key: str = "id", text: str = "content",
     runs are one class, named by its smallest key; a key that comes with several texts is in several classes.
     Repeated rows count once.  Other columns are ignored.  An empty table gives empty results."""
     sets, members = classes_of(rows, key=key, text=text, run=run, least=least)
-    sets = cut(sets)
     return similar_classes(sets, similarity=similarity, boundary=boundary), members
 
 
