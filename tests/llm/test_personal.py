@@ -13,7 +13,8 @@ def place(text, *parts):
 def corpus(spark):
     known = [f"{g} {s}" for g in ("Anselma", "Bertolt", "Corvin", "Dorotea") for s in ("Tannhof", "Ellerbrock", "Quistorp")]
     rows = [f"The build broke again. Reported by {n}. Nobody saw it. The log is long." for n in known for _ in range(2)]
-    rows += [f"Please call +49 30 5550 {100 + i} or call 030/5550{1000 + i} for help with part number 903-44-{i}0650{i}." for i in range(12)]
+    numbers = [(f"+49 30 5550 {100 + i}", f"030/5550{1000 + i}") for i in range(12)]
+    rows += [f"Please call {n[i % 2]} or call {n[1 - i % 2]} for help with part number 903-44-{i}0650{i}." for i, n in enumerate(numbers)]
     rows += [f"User logged in, passport no. ZK{7048106 + i}, status {i}." for i in range(6)]
     own = [
         "Reported by Xaverine Holmbruck. The log is long.",
