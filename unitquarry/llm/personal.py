@@ -25,10 +25,10 @@ DOUBT, TRUSTED, STRONG = 1.0, 0.5, 0.75
 # Words of several languages that the candidates are made from.
 _STREET_LAST = "street|st|road|rd|lane|ln|avenue|ave|way|court|ct|drive|dr|place|pl|square|terrace|crescent|close|boulevard|blvd|parkway|row|alley|walk"
 _STREET_TAIL = "weg|straße|strasse|str|gasse|allee|ring|platz|zeile|ufer|damm|steig|pfad|markt|graben|hof|chaussee"
-_STREET_FIRST = "Calle|C/|Plaza|Pza\\.?|Avda\\.?|Avenida|Paseo|Camino|Ronda|Rua|R\\.|Av\\.?|Travessa|Praça|Largo|Alameda|Estrada|[Rr]ue|[Aa]venue|[Bb]oulevard|[Bb]d\\.?|[Pp]lace|[Cc]hemin|[Qq]uai|[Aa]llée|[Ii]mpasse|[Rr]oute|[Cc]ours|[Pp]assage|[Ss]quare"
+_STREET_FIRST = "Calle|C/|Plaza|Pza\\.?|Avda\\.?|Avenida|Paseo|Camino|Ronda|Rua|Av\\.?|Travessa|Praça|Largo|Alameda|Estrada|[Rr]ue|[Aa]venue|[Bb]oulevard|[Bb]d\\.?|[Pp]lace|[Cc]hemin|[Qq]uai|[Aa]llée|[Ii]mpasse|[Rr]oute|[Cc]ours|[Pp]assage|[Ss]quare"
 _BOX = r"P\.? ?O\.? ?Box|Post Office Box|Postfach|Apartado(?: de [Cc]orreos| Postal)?|Apdo\.?|Caixa [Pp]ostal|C\.P\.|B\.?P\.?|Boîte [Pp]ostale"
-_UNIT = r"(?:,? ?#\d+\w?|,? (?:Apt|Apartment|Suite|Ste|Unit|Flat|Floor|Room|Whg|App|Apto?|ap|apto|esc|planta|piso|puerta|bât|étage|appt)\.? ?\w{1,5}\b|, ?\d{1,2}\.?[ºª°o](?: ?(?:[A-Z]|esq|dir|dto|izda|dcha)\b\.?)?|,? ?-? ?(?:bajo|fundos|ático|sobreloja|r/c|rés-do-chão|térreo)\b)"
-_CODE = r"(?:[A-Z]{2} ?\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|(?:[A-Z]{1,2}-)?\d{4,5}(?:-\d{3,4})?)"
+_UNIT = r"(?:,? ?#\d+\w?|,? (?:Apt|Apartment|Suite|Ste|Unit|Flat|Floor|Room|Whg|App|Apto?|ap|apto|esc|planta|piso|puerta|bât|étage|appt)\.? ?\w{1,5}\b|, ?\d{1,2}\.?[ºª°o](?: ?(?:[A-Z]\b|(?:esq|dir|dto|izda|dcha)\b(?:\.(?=,))?))?|,? ?-? ?(?:bajo|fundos|ático|sobreloja|r/c|rés-do-chão|térreo)\b)"
+_CODE = r"(?:[A-Z]{2} ?\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|(?:[A-Z]{1,2}-)?\d{5}(?:-\d{3,4})?)"
 _PARTICLE = r"(?:van|von|de|da|do|del|della|dos|das|di|du|zu|ter|ten|af|el|la|le)(?: (?:der|den|la|las|los|dem))?"
 _ID_LABEL = re.compile(r"passport|passeport|pasaporte|passaporte|reisepass|ausweis|steuer|idnr|identifikations|d\.?n\.?i\b|\bni[efr]\b|\bnino\b|\bni\b|\bcpf\b|\bssn\b|insurance|security|\bsec\b|sécu|seguridad|segurança|fiscal|contribuinte|sozialversicherung|\btin\b|\bcni\b", re.I)
 _WORD = r"[^\W\d_]"
@@ -38,9 +38,9 @@ _CAP = rf"(?:{_PART}(?:-{_PART})*)"
 _AT, _DOT = r"(?:@|&#64;|&commat;| ?[\[({] ?(?:at|a|arroba|AT|@) ?[\])}] ?| AT | \(?at\)? (?=[\w-]+ \(?dot\)? ))", r"(?:\.| ?[\[({] ?(?:dot|punkt|point|punto|ponto|DOT|\.) ?[\])}] ?| DOT | dot )"
 _EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9À-ÿ](?:[\w.+%'-]*[\w+-])?{_AT}(?:[A-Za-z0-9À-ÿ](?:[\w-]*\w)?{_DOT})+[A-Za-z]{{2,24}}(?![\w-]|\.\w)")
 _EXT = r"(?:,? ?(?:ext\.?|extension|x|Durchwahl|DW|poste|ramal|ext) ?\d{1,6}\b)?"
-_NUMBER = re.compile(rf"(?<![\w$#@\-/.,+])(?:[+(]|\+\()?\d(?:[ ./\-]?[()]?[ ./\-]?\d){{6,17}}(?![\w$@]|[-./]\w|\))({_EXT})")
+_NUMBER = re.compile(rf"(?<![A-Za-z0-9_À-ɏ$#@\-/,+])(?<!\d\.)(?:[+(]|\+\()?\d(?:[ ./\-]?[()]?[ ./\-]?\d){{6,17}}(?![\w$@]|[-./]\w)({_EXT})")
 _ALNUM = re.compile(r"(?<![\w$#@\-/.{])(?:[A-Z]{1,2}-? ?\d{6,9}[A-Z]?|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{2}[A-Z]{2}\d{5,6}|(?=[A-Z\d]*[A-Z])(?=(?:[A-Z]*\d){5})[A-Z\d]{8,13}|\d{2}\.?\d{3}\.?\d{3} ?-? ?[A-Z]|[XYZ] ?-? ?\d{7} ?-? ?[A-Z])(?![\w@}]|-\w)", re.I)
-_NAME = re.compile(rf"(?<![\w@&/\\#$%+.-])(?:(?P<particle>{_PARTICLE}) )?(?:(?P<initials>(?:[A-ZÀ-Þ]\.[ -]{{0,2}}){{1,3}})(?= *[A-ZÀ-Þ\w])|(?P<name>{_CAP})(?![\w@(]|\.\w|/\w|-\w|::))")
+_NAME = re.compile(rf"(?<![\w@&/\\#$%+-])(?:(?P<particle>{_PARTICLE}) )?(?:(?P<initials>(?:[A-ZÀ-Þ]\.[ -]{{0,2}}){{1,3}})(?= *[A-ZÀ-Þ\w])|(?P<name>{_CAP})(?![\w@(]|\.\w|/\w|-\w|::))")
 _GLUE = re.compile(r"(?P<blank>[ \t]{1,3})|(?P<comma>, {1,2})")
 _CONTEXT = re.compile(r"[^\W\d_]+|\d+|\r?\n|[^\w\s]")
 _STREETS = [
@@ -75,9 +75,14 @@ def _shape(number: str) -> str:
     return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", re.sub(r"\s", " ", number.upper())))
 
 
-def _around(text: str, start: int, end: int) -> tuple[str, str, str]:
-    left = [re.sub(r"\d+", "0", w.lower()) if w.strip() else "\n" for w in _CONTEXT.findall(text, max(0, start - 40), start)[-3:]]
-    right = [re.sub(r"\d+", "0", w.lower()) if w.strip() else "\n" for w in _CONTEXT.findall(text, end, end + 24)[:2]]
+def _around(text: str, start: int, end: int, names: bool = True) -> tuple[str, str, str]:
+    """The two and three words or marks before a place and the two behind it; without ``names``, a capitalised word that is no label counts as any other."""
+
+    def plain(w: str) -> str:
+        return "\n" if not w.strip() else "0" if w.isdigit() else "A" if not names and w[0].isupper() and len(w) > 2 and not _ID_LABEL.search(w) else w.lower()
+
+    left = [plain(w) for w in _CONTEXT.findall(text, max(0, start - 40), start)[-3:]]
+    right = [plain(w) for w in _CONTEXT.findall(text, end, end + 24)[:2]]
     return "l2 " + " ".join(left[-2:]), "l3 " + " ".join(left), "r2 " + " ".join(right)
 
 
@@ -105,8 +110,6 @@ def candidates(doc: object, raw: str) -> Iterator[tuple]:
                 seed = bool(kinds)
                 w = kinds[-1] if kinds else words[min(1, len(words) - 1)]
                 stop, word = begin + w.end(), fold(w[0])
-                if text[stop : stop + 1] == "." and re.match(r"\. ?(?:,|#|\n|\r)", text[stop:]):
-                    stop += 1
             if how == "tail":
                 lead = re.match(r"(?:Am|Zum|Zur|An der|Im|Auf der|Auf dem|Hinter der|Unter den|In der)\b", m[0])
                 if lead and lead.end() == m.end("key") - begin:
@@ -117,8 +120,12 @@ def candidates(doc: object, raw: str) -> Iterator[tuple]:
                     begin = m.start("key")
             if how == "first" and not re.search(r"\d", m[0]):
                 continue
-            end = _UNITS.match(text, stop).end()
+            # the point of an abbreviation belongs to it if the address goes on
+            dot = text[stop : stop + 1] == "." and how == "last"
+            end = _UNITS.match(text, stop + dot).end()
             p = _PLACE.match(text, end)
+            if dot and end == stop + 1:
+                end = stop
             town = fold(p["town1"] or p["town2"] or p["town3"]) if p else ""
             coded = bool(p and (p["code1"] or p["code2"]))
             # A town is known by the postcode beside it; without one the address ends before it unless the town is trusted.
@@ -127,21 +134,22 @@ def candidates(doc: object, raw: str) -> Iterator[tuple]:
             yield doc, "s", begin, end, how + " " + word, "address" if seed else "", l2, l3, r2, "coded" if coded else "", (p.end() if p else end), town + ("|" + one_word if one_word and one_word != town else "")
     for m in _NUMBER.finditer(text):
         if free(m.start(), m.end()):
-            end = m.start(1) if m[1] else m.end()
-            number = text[m.start() : end]
+            end, begin = m.start(1) if m[1] else m.end(), m.start()
+            begin += text[begin] == "(" and ")" not in text[begin:end]
+            number = text[begin:end]
             if number.count("(") != number.count(")"):
                 continue
             shape = _shape(number)
             plain = re.sub(r"[^9]", "", shape)
             seed = "phone" if re.match(r"\+|00[1-9]", number) and 9 <= len(plain) <= 15 or m[1] else "id_number" if shape in ("999-99-9999", "999.999.999-99") else ""
             key = "+" if seed == "phone" else shape
-            yield doc, "d", m.start(), m.end(), key, seed, *_around(text, m.start(), m.end()), "", 0, ""
+            yield doc, "d", begin, m.end(), key, seed, *_around(text, begin, m.end(), False), "", 0, ""
     for m in _ALNUM.finditer(text):
         if free(m.start(), m.end()) and re.search("[A-Za-z]", m[0]):
             shape = _shape(m[0])
             seed = "id_number" if re.fullmatch(r"AA ?99 ?99 ?99 ?A|99999999-?A", shape) else ""
-            yield doc, "d", m.start(), m.end(), shape, seed, *_around(text, m.start(), m.end()), "", 0, ""
-    last = -1
+            yield doc, "d", m.start(), m.end(), shape, seed, *_around(text, m.start(), m.end(), False), "", 0, ""
+    last = lead = -1
     for m in _NAME.finditer(text):
         start = m.start("initials") if m["initials"] else m.start("name")
         end = m.end("initials") if m["initials"] else m.end("name")
@@ -149,14 +157,16 @@ def candidates(doc: object, raw: str) -> Iterator[tuple]:
             end = start + len(m["initials"].rstrip(" -"))
         name = m["name"]
         if name and (len(name) < 3 or not name.isupper() and re.search(rf"(?:[a-zß-ÿ])[A-ZÀ-Þ]", name.replace("Mc", ""))):
-            last = -1
+            last = lead = -1
             continue
         if not free(start, end):
-            last = -1
+            last = lead = -1
             continue
         gap = _GLUE.fullmatch(text, last, m.start()) if last >= 0 else None
-        yield doc, "n" if name else "i", start, end, fold(name) if name else "", "", *(_around(text, start, end) if name else ("", "", "")), (gap.lastgroup if gap else ""), m.start(), ""
-        last = end
+        # what stands before initials is what stands before the name
+        lead = lead if gap and gap.lastgroup == "blank" and lead >= 0 else start
+        yield doc, "n" if name else "i", start, end, fold(name) if name else "", "", *(_around(text, lead, end) if name else ("", "", "")), (gap.lastgroup if gap else ""), m.start(), ""
+        last, lead = end, -1 if name else lead
 
 
 _COLUMNS = "cls string, start int, end int, key string, seed string, l2 string, l3 string, r2 string, glue string, also int, town string"
@@ -177,7 +187,9 @@ def _spans(pdf: pd.DataFrame) -> list[tuple]:
 
     def close() -> None:
         sure = [i for i, x in enumerate(run) if x.cls == "n" and x.kind == "person"]
-        keep = [x for i, x in enumerate(run) if x.kind == "person" or any(abs(i - k) == 1 for k in sure)]
+        # initials don't come between a name and a rare word that goes with it
+        beside = {k + step * (2 if 0 <= k + step < len(run) and run[k + step].cls == "i" else 1) for k in sure for step in (-1, 1)}
+        keep = [x for i, x in enumerate(run) if x.kind == "person" or i in beside]
         if sure:
             first, last = run.index(keep[0]), run.index(keep[-1])
             whole = run[first : last + 1]
