@@ -150,3 +150,21 @@ def test_scopes(spark):
     d = spark.createDataFrame([("rtl", "1", 1), ("rtl", "2", 3), ("rtl", "3", 2), ("vcl", "5", 9)], "library string, version string, released_at int")
     got = sorted((r.query_id, r.library, r.version, r.pos) for r in scopes.expanded(q, d, most=2).collect())
     assert got == [("a", "RTL", "2", 1), ("a", "RTL", "3", 2), ("b", "rtl", "9", 1), ("c", "rtl", "2", 1), ("c", "vcl", "5", 1), ("d", "rtl", "2", 1), ("d", "vcl", "5", 1)]
+
+
+def test_reports_and_declaring_types(spark):
+    files = spark.createDataFrame([(1, "unit A;\ninterface\ntype\n  T = class\n  end;\n  U = record\n  end;\n"), (2, "begin"), (3, None)], "file_id long, source_text string")
+    got = {r.file_id: (r.unit_name, r.nodes, r.symbols, r.returned_symbols, r.truncated, r.code) for r in parsing.unit_report(files, most_symbols=2).collect()}
+    assert got == {1: ("A", 4, 3, 2, True, None), 2: (None, 1, 0, 0, False, "DP3001")}
+    place = (0, 0, 0, 0)
+    tree = [(1, "a", None, "unit", "A", *place), (1, "b", "a", "class", "B", *place), (1, "c", "b", "method", "C", *place), (1, "d", "c", "method", "D", *place), (1, "e", "a", "method", "E", *place)]
+    out = parsing.declaring_types(spark.createDataFrame(tree, parsing.NODES))
+    assert {r.id: r.declaring_type for r in out.collect()} == {"a": None, "b": None, "c": "B", "d": "B", "e": None}
+
+
+def test_blobs(spark):
+    from unitquarry.functions.vectors import from_blob, to_blob
+
+    df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>")
+    got = df.select(to_blob("v").alias("b")).select("b", from_blob("b").alias("v")).collect()
+    assert [r.v for r in got] == [[1.5, -2.0], [], None] and bytes(got[0].b) == b"\x00\x00\xc0?\x00\x00\x00\xc0"

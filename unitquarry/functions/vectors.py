@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,3 +26,15 @@ def normalized(v: Column) -> Column:
 def usable(v: Column, dim: int) -> Column:
     """Whether ``v`` has ``dim`` numbers, not all of them zero; false for null."""
     return F.coalesce((F.size(v) == dim) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+@F.pandas_udf(BinaryType())
+def to_blob(vectors: pd.Series) -> pd.Series:
+    """Vectors as little-endian 4-byte floats, one after the other; null stays null."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def from_blob(blobs: pd.Series) -> pd.Series:
+    """The vectors of such blobs; a length that is no multiple of 4 raises an error."""
+    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))

@@ -210,3 +210,46 @@ def normal_form(text: str, comments: bool = True) -> str:
 def normalized(files: DataFrame, *, text: str = "source_text", comments: bool = True) -> DataFrame:
     """``file_id, text`` in normal form; null texts have no row."""
     return _per_file(files, lambda t: [(normal_form(t, comments),)], "file_id bigint, text string", text)
+
+
+#: What a report gives of a file, at most.
+MOST_NODES, MOST_SYMBOLS = 5000, 2000
+
+
+def unit_report(files: DataFrame, *, text: str = "source_text", most_nodes: int = MOST_NODES, most_symbols: int = MOST_SYMBOLS) -> DataFrame:
+    """One row per file with a text: its unit name (null if it has none, which is DP3001), how many nodes, sections, uses,
+    types and symbols it has, how many of them a report gives, and whether it cuts them."""
+    found = nodes(files, text=text)
+    is_ = lambda *k: F.count_if(F.col("kind").isin(*k))
+    per = found.groupBy("file_id").agg(
+        F.nullif(F.max(F.when(F.col("kind") == "unit", F.col("name"))), F.lit("<unknown-unit>")).alias("unit_name"),
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if(F.col("kind").endswith("_section")).alias("sections"),
+        is_("uses").alias("uses"),
+        is_(*SYMBOL_KINDS).alias("types"),
+    )
+    symbols_ = F.col("types") + F.col("unit_name").isNotNull().cast("bigint")
+    return per.withColumn("symbols", symbols_).withColumns(
+        {
+            "returned_nodes": F.least("nodes", F.lit(most_nodes).cast("bigint")),
+            "returned_symbols": F.least("symbols", F.lit(most_symbols).cast("bigint")),
+            "truncated": (F.col("nodes") > most_nodes) | (F.col("symbols") > most_symbols),
+            "code": F.when(F.col("unit_name").isNull(), F.lit("DP3001")),
+        }
+    )
+
+
+def declaring_types(found: DataFrame, *, depth: int = 16) -> DataFrame:
+    """``file_id, id, declaring_type``: of each node the nearest type above it, null if there is none within ``depth`` steps.
+
+    One join a level, over the nodes that haven't met a type yet."""
+    up = found.select("file_id", F.col("id").alias("_id"), F.col("parent_id").alias("_up"), F.when(F.col("kind").isin(*SYMBOL_KINDS, "helper"), F.col("name")).alias("_type"))
+    todo, done = found.select("file_id", "id", F.col("parent_id").alias("_id")), None
+    for _ in range(depth):
+        met = todo.join(up, ["file_id", "_id"], "left")
+        ready = met.where("_type is not null or _up is null").select("file_id", "id", F.col("_type").alias("declaring_type"))
+        done = ready if done is None else done.unionAll(ready)
+        todo = met.where("_type is null and _up is not null").select("file_id", "id", F.col("_up").alias("_id"))
+        if todo.isEmpty():
+            return done
+    return done.unionAll(todo.select("file_id", "id", F.lit(None).cast("string")))

@@ -105,6 +105,14 @@ def unit_structure(spark, d):
     return parsing.nodes(_files(spark, d))
 
 
+def unit_report(spark, d):
+    return parsing.unit_report(_files(spark, d))
+
+
+def declaring_type(spark, d):
+    return parsing.declaring_types(parsing.nodes(_files(spark, d)))
+
+
 def symbol_signature(spark, d):
     return parsing.symbols(parsing.nodes(_files(spark, d)))
 
@@ -122,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_lines, chunk_header, unit_names, strip_line, kw_counts, section_track, type_headers, routine_headers, visibility_parse, str_trim,
-        chunk_types, chunk_routines, index_resume, lex_kinds, directive_regions, directive_diagnostics, unit_structure, symbol_signature, uses_units, normal_form,
+        chunk_types, chunk_routines, index_resume, lex_kinds, directive_regions, directive_diagnostics, unit_structure, unit_report, declaring_type, symbol_signature, uses_units, normal_form,
     )
 }
 
