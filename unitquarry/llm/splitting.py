@@ -169,6 +169,11 @@ def file_ranges(spark: SparkSession, files: DataFrame) -> DataFrame:
     return todo.mapInPandas(read, "item string, range_no int, head int, tail int, data binary")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over as many tasks as a shuffle has; small rows that cost much to work on aren't put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame([{"item": x.item, "range_no": x.range_no, **scan_range(x.data, x.head, x.tail)} for x in pdf.itertuples()], columns=["item", "range_no", "units", "lines", "after", "offsets", "is_line", "classes", "skip"])
@@ -189,7 +194,7 @@ def split_ranges(ranges: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLA
     """``item, piece_no, line_no, text``: the pieces of texts given as ranges.  ``line_no`` counts from 0."""
     kind = ranges.schema["item"].dataType.simpleString()
     scanned = ranges.mapInPandas(_scan, f"item {kind}, range_no int, units bigint, lines bigint, after array<int>, offsets array<bigint>, is_line array<boolean>, classes array<array<int>>, skip int")
-    placed = scanned.select("item", "range_no", "units", "lines", "after").groupBy("item").applyInPandas(_stitch, f"item {kind}, range_no int, state int, at bigint, line_at bigint, total bigint")
+    placed = spread(scanned.select("item", "range_no", "units", "lines", "after"), "item").groupBy("item").applyInPandas(_stitch, f"item {kind}, range_no int, state int, at bigint, line_at bigint, total bigint")
     table = scanned.join(placed, ["item", "range_no"]).select(
         "item", "range_no", "at", "line_at", "total", "units", F.transform("offsets", lambda o: o + F.col("at")).alias("offsets"), "is_line", F.element_at("classes", F.col("state") + 1).alias("classes")
     )
@@ -223,7 +228,7 @@ def split_ranges(ranges: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLA
             rows.append((pdf["item"][0], s, e, number))
         return pd.DataFrame(rows, columns=["item", "s", "e", "line_no"])
 
-    pieces = table.groupBy("item", "stretch").applyInPandas(cut, f"item {kind}, s bigint, e bigint, line_no bigint")
+    pieces = spread(table, "item", "stretch").groupBy("item", "stretch").applyInPandas(cut, f"item {kind}, s bigint, e bigint, line_no bigint")
     pieces = pieces.withColumn("piece_no", F.row_number().over(Window.partitionBy("item").orderBy("s")))
     # A piece lies in few ranges; it is matched to them by the blocks of units it may touch, an equi-join.
     width = RANGE // 2
