@@ -85,7 +85,7 @@ class Index:
         return home, row, cell
 
 
-def _search(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _search(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, member row, cosine) of the reranked candidates of all queries, without a query itself."""
     n, lanes = len(ids), 32
     pad = -n % lanes
@@ -191,7 +191,7 @@ def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim:
         if not len(members):
             return pd.DataFrame(columns=["id", "own", "other", "others", "cosine"])
         raw = np.frombuffer(b"".join(pdf["code"].iloc[members]), np.uint8).reshape(len(members), -1)
-        q, m, score = _search(index, ids[members], x[members], raw[:, :-4], raw[:, -4:].copy().view("<f4")[:, 0], ids, x, k)
+        q, m, score = _search(index, ids[members], x[members], raw[:, :-4], raw[:, -4:].copy().view("<f4")[:, 0], ids, x)
         m = members[m]
         a, b, s = np.concatenate([q, m]), np.concatenate([m, q]), np.concatenate([score, score])
         keep = _best(ids[a], ids[b], s, k)

@@ -212,7 +212,7 @@ def find_personal(docs: DataFrame, persons: DataFrame, *, key: str = "doc_id", t
     """``key, start_pos, end_pos, kind``: each occurrence of an email, phone, id_number, address or person.
 
     Positions count code points from 0, the end is exclusive; occurrences of a document don't overlap.  ``persons``
-    has the known persons' given_name and surname; null names give no seed.  Null and empty texts give no rows.  Rows
+    has the known persons' given_name and surname; null names give no seed.  Null and empty texts and null keys give no rows.  Rows
     that repeat key and text count once.  Other columns are ignored; an empty table gives an empty result.
 
     Plan: one pass over the texts yields candidates, which are written; the graph of patterns and keys is one
@@ -293,6 +293,8 @@ def find_personal(docs: DataFrame, persons: DataFrame, *, key: str = "doc_id", t
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for pdf in batches:
+            if not len(pdf):
+                continue
             pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
             final = pdf["doc"].iloc[-1]
             whole, kept = pdf[pdf["doc"] != final], pdf[pdf["doc"] == final]
