@@ -21,7 +21,7 @@ SAMPLE, CELL, BLOCK = 32768, 6000, 16000
 #: Codebooks, codewords of each, width of the beam, candidates reranked for a query and cell.
 BOOKS, WORDS, BEAM, RERANK = 6, 256, 4, 32
 #: A query visits the cells whose centre is at most this much less similar to it than the nearest centre.
-MARGIN = 0.1
+MARGIN = 0.08
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
