@@ -9,6 +9,7 @@ import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +58,26 @@ def _per_file(files: DataFrame, rows_of, schema: str, text: str) -> DataFrame:
 
 def tokens(files: DataFrame, *, text: str = "source_text", only: tuple[str, ...] | None = None) -> DataFrame:
     """One row per token of each file, of the kinds in ``only`` if given; null and empty texts have none."""
+    names = [c.strip().split(" ")[0] for c in TOKENS.split(",")]
 
-    def rows(t: str) -> Iterator[tuple]:
-        at = _Places(t)
-        for pos, (kind, x, o) in enumerate(scan(t)):
-            if only is None or kind in only:
-                yield pos, kind, x, *at(o), *at(o + len(x))
-
-    return _per_file(files, rows, TOKENS, text)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kinds, texts, parts = [], [], []
+            for file_id, t in pdf.itertuples(index=False):
+                found = scan(t)
+                begin = np.array([o for _, _, o in found], np.int64)
+                end = np.append(begin[1:], len(t))
+                keep = [i for i, (k, _, _) in enumerate(found) if only is None or k in only]
+                starts = np.array([0, *[m.end() for m in re.finditer("\n", t)]], np.int64)
+                first, last = (np.searchsorted(starts, o, "right") for o in (begin[keep], end[keep]))
+                kinds += [found[i][0] for i in keep]
+                texts += [found[i][1] for i in keep]
+                parts.append(np.array([np.full(len(keep), file_id), keep, first, begin[keep] - starts[first - 1] + 1, last, end[keep] - starts[last - 1] + 1], np.int64))
+            if kinds:
+                n = np.concatenate(parts, 1)
+                yield pd.DataFrame(dict(zip(names, [n[0], n[1], kinds, texts, *n[2:]])))
+
+    return files.where(F.col(text).isNotNull() & (F.col(text) != "")).select("file_id", text).mapInPandas(run, TOKENS)
 
 
 def directives(found: DataFrame) -> DataFrame:
