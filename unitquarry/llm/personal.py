@@ -172,7 +172,7 @@ def candidates(doc: object, raw: str) -> Iterator[tuple]:
 _COLUMNS = "cls string, start int, end int, key string, seed string, l2 string, l3 string, r2 string, glue string, also int, town string"
 
 
-def _spans(pdf: pd.DataFrame) -> list[tuple]:
+def _spans(rows: list) -> list[tuple]:
     """Non-overlapping (start, end, kind) of the accepted candidates of one document, best kinds first."""
     out: list[tuple[int, int, str]] = []
 
@@ -181,7 +181,7 @@ def _spans(pdf: pd.DataFrame) -> list[tuple]:
             out.append((s, e, kind))
 
     rank = {"email": 0, "address": 1, "id_number": 2, "phone": 3}
-    for x in sorted((x for x in pdf.itertuples() if x.cls not in "ni"), key=lambda x: (rank[x.kind], x.start, -x.stop)):
+    for x in sorted((x for x in rows if x.cls not in "ni"), key=lambda x: (rank[x.kind], x.start, -x.stop)):
         put(x.start, x.stop, x.kind)
     run: list = []
 
@@ -198,7 +198,7 @@ def _spans(pdf: pd.DataFrame) -> list[tuple]:
             put(whole[0].start, whole[-1].end, "person")
         run.clear()
 
-    for x in sorted((x for x in pdf.itertuples() if x.cls in "ni"), key=lambda x: x.start):
+    for x in sorted((x for x in rows if x.cls in "ni"), key=lambda x: x.start):
         names = [y for y in run if y.cls == "n"]
         adjacent = run and x.start >= run[-1].end and (x.glue == "blank" or x.glue == "comma" and len(run) == 1 and len(names) == 1 and x.cls == "n")
         if not adjacent or x.prev != run[-1].end or len(names) >= 4 or (len(names) >= 2 and any(y.glue == "comma" for y in run) and x.cls == "n"):
@@ -291,16 +291,18 @@ def find_personal(docs: DataFrame, persons: DataFrame, *, key: str = "doc_id", t
     together = accepted.unionByName(certain).join(ends, ["doc", "cls", "start"], "left")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        rows: list = []
+        columns = ["doc", "start_pos", "end_pos", "kind"]
         for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            final = pdf["doc"].iloc[-1]
-            whole, kept = pdf[pdf["doc"] != final], pdf[pdf["doc"] == final]
-            yield pd.DataFrame([(d, *s) for d, g in whole.groupby("doc", sort=False) for s in _spans(g)], columns=["doc", "start_pos", "end_pos", "kind"])
-        if kept is not None:
-            yield pd.DataFrame([(kept["doc"].iloc[0], *s) for s in _spans(kept)], columns=["doc", "start_pos", "end_pos", "kind"])
+            out = []
+            for x in pdf.itertuples(index=False):
+                if rows and x.doc != rows[0].doc:
+                    out += [(rows[0].doc, *s) for s in _spans(rows)]
+                    rows = []
+                rows.append(x)
+            yield pd.DataFrame(out, columns=columns)
+        if rows:
+            yield pd.DataFrame([(rows[0].doc, *s) for s in _spans(rows)], columns=columns)
 
     # The rows of one text end up in one task, which sees them in order; a text is never larger than a row.
     merged = together.where(F.col("doc").isNotNull()).repartition("doc").sortWithinPartitions("doc", "start").mapInPandas(merge, f"doc {kind}, start_pos bigint, end_pos bigint, kind string")
