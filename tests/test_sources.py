@@ -168,3 +168,14 @@ def test_blobs(spark):
     df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>")
     got = df.select(to_blob("v").alias("b")).select("b", from_blob("b").alias("v")).collect()
     assert [r.v for r in got] == [[1.5, -2.0], [], None] and bytes(got[0].b) == b"\x00\x00\xc0?\x00\x00\x00\xc0"
+
+
+def test_the_query_for_resuming_has_no_cap(spark, tmp_path):
+    from unitquarry.plans.source_queries import index_resume
+
+    text = "unit U;\n\ninterface\n\nimplementation\n\n" + "\n\n".join(f"procedure TLong.Number{i};\nbegin\n  Call(Something, {i});\nend;" for i in range(700)) + "\n\nend.\n"
+    spark.createDataFrame([(1, "l", "1", "U.pas", text), (2, "m", "1", "U.pas", text)], "file_id long, library string, version string, file_path string, source_text string").write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.range(550).selectExpr("id", "'l' AS library", "'1' AS version").write.parquet(f"{tmp_path}/chunks.parquet")
+    rows = index_resume(spark, str(tmp_path)).collect()
+    assert sorted(r.place for r in rows if r.library == "l") == list(range(551, 702))
+    assert sorted(r.place for r in rows if r.library == "m") == list(range(1, 702))

@@ -82,10 +82,10 @@ def chunk_routines(spark, d):
 
 
 def index_resume(spark, d):
-    """The chunks of the source files that a store still lacks which holds as many of a scope as the given one does, up to 500 a scope."""
+    """The chunks of the source files that a store still lacks which holds as many of a scope as the given one does."""
     have = table(spark, d, "chunks").groupBy("library", "version").agg(F.count(F.lit(1)).alias("chunks"))
     placed = chunker.ordinals(chunker.chunk_files(_files(spark, d)))
-    return chunker.to_index(placed, have, most=500).select("file_id", "ordinal", "place", "library", "version", "identifier")
+    return chunker.to_index(placed, have).select("file_id", "ordinal", "place", "library", "version", "identifier")
 
 
 def lex_kinds(spark, d):
