@@ -12,15 +12,20 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from unitquarry.session import cut
+from unitquarry.session import stored
 
 TURNS = 3
 #: Weight of doubt in a pattern's score, trust that accepts a key, and a pattern's score that accepts an unknown key.
 DOUBT, TRUSTED, STRONG = 1.0, 0.5, 0.75
+#: A pattern's score at least, if it holds the label of an id: such patterns are seeds, too.
+LABELLED = 0.95
 
 # Words of several languages that the candidates are made from.
 _STREET_LAST = "street|st|road|rd|lane|ln|avenue|ave|way|court|ct|drive|dr|place|pl|square|terrace|crescent|close|boulevard|blvd|parkway|row|alley|walk"
@@ -86,16 +91,27 @@ def _around(text: str, start: int, end: int, names: bool = True) -> tuple[str, s
     return "l2 " + " ".join(left[-2:]), "l3 " + " ".join(left), "r2 " + " ".join(right)
 
 
+def _number(cls: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(cls + text) - (1 << 63)
+
+
 def candidates(doc: object, raw: str) -> Iterator[tuple]:
-    """(doc, cls, start, end, key, seed, l2, l3, r2, glue, from_particle, town): the candidates of one text.
+    """The candidates of one text, in the order of ``_FOUND``.
 
-    ``cls``: e (email, certain), d (number), s (street), n (name token), i (initials)."""
+    ``cls``: e (email), d (number), s (street), n (name token), i (initials, which have no key).  Keys and patterns are
+    numbers that hash them; ``label`` has bit 1 or 2 where the two or three words before are an id's label."""
     text = _straight(raw)
+
+    def row(cls: str, start: int, end: int, key: str, seed: str | None, around: tuple[str, str, str], glue: str | None = None, prev: int = -1, coded: bool = False, towns: tuple[str, str] = ("", ""), ends: tuple[int, int] = (0, 0)) -> tuple:
+        label = (1 if _ID_LABEL.search(around[0]) else 0) + (2 if _ID_LABEL.search(around[1]) else 0) if cls == "d" else 0
+        return (doc, cls, start, end, _number(cls, key), seed, label, *(_number(cls, x) for x in around), glue, prev, coded, *(_number("t", t) if t else None for t in towns), *ends)
+
     taken = []
     for m in _EMAIL.finditer(text):
-        if not any(x in m[0] for x in (" ", "[", "(", "{")) or re.search(r"(?i)[a-z]", m[0]):
-            taken.append((m.start(), m.end()))
-            yield doc, "e", m.start(), m.end(), "email", "email", "", "", "", "", 0, ""
+        # the form is plain, or disguised by words or entities
+        taken.append((m.start(), m.end()))
+        plain = m[0].count("@") == 1 and " " not in m[0] and "[" not in m[0]
+        yield row("e", m.start(), m.end(), "plain" if plain else "disguised", "email", _around(text, m.start(), m.end(), False))
     free = lambda s, e: not any(a < e and s < b for a, b in taken)
     for how, pattern in _STREETS:
         for m in pattern.finditer(text):
@@ -127,11 +143,11 @@ def candidates(doc: object, raw: str) -> Iterator[tuple]:
             if dot and end == stop + 1:
                 end = stop
             town = fold(p["town1"] or p["town2"] or p["town3"]) if p else ""
-            coded = bool(p and (p["code1"] or p["code2"]))
-            # A town is known by the postcode beside it; without one the address ends before it unless the town is trusted.
-            l2, l3, r2 = _around(text, begin, end)
-            one_word = fold(p["town3"].split(" ")[0]) if p and p["town3"] else ""
-            yield doc, "s", begin, end, how + " " + word, "address" if seed else "", l2, l3, r2, "coded" if coded else "", (p.end() if p else end), town + ("|" + one_word if one_word and one_word != town else "")
+            # A town is known by the postcode beside it; without one the address ends before it, or behind its first word, unless the town is trusted.
+            first = fold(p["town3"].split(" ")[0]) if p and p["town3"] else ""
+            first = first if first != town else ""
+            far = p.end() if p else end
+            yield row("s", begin, end, how + " " + word, "address" if seed else None, _around(text, begin, end), coded=bool(p and (p["code1"] or p["code2"])), towns=(town, first), ends=(far, far - len(town) + len(first) if first else end))
     for m in _NUMBER.finditer(text):
         if free(m.start(), m.end()):
             end, begin = m.start(1) if m[1] else m.end(), m.start()
@@ -140,36 +156,33 @@ def candidates(doc: object, raw: str) -> Iterator[tuple]:
             if number.count("(") != number.count(")"):
                 continue
             shape = _shape(number)
-            plain = re.sub(r"[^9]", "", shape)
-            seed = "phone" if re.match(r"\+|00[1-9]", number) and 9 <= len(plain) <= 15 or m[1] else "id_number" if shape in ("999-99-9999", "999.999.999-99") else ""
-            key = "+" if seed == "phone" else shape
-            yield doc, "d", begin, m.end(), key, seed, *_around(text, begin, m.end(), False), "", 0, ""
+            digits = re.sub(r"[^9]", "", shape)
+            seed = "phone" if re.match(r"\+|00[1-9]", number) and 9 <= len(digits) <= 15 or m[1] else "id_number" if shape in ("999-99-9999", "999.999.999-99") else None
+            yield row("d", begin, m.end(), "+" if seed == "phone" else shape, seed, _around(text, begin, m.end(), False))
     for m in _ALNUM.finditer(text):
         if free(m.start(), m.end()) and re.search("[A-Za-z]", m[0]):
             shape = _shape(m[0])
-            seed = "id_number" if re.fullmatch(r"AA ?99 ?99 ?99 ?A|99999999-?A", shape) else ""
-            yield doc, "d", m.start(), m.end(), shape, seed, *_around(text, m.start(), m.end(), False), "", 0, ""
-    last = lead = -1
+            yield row("d", m.start(), m.end(), shape, "id_number" if re.fullmatch(r"AA ?99 ?99 ?99 ?A|99999999-?A", shape) else None, _around(text, m.start(), m.end(), False))
+    last = lead = prev = -1
     for m in _NAME.finditer(text):
-        start = m.start("initials") if m["initials"] else m.start("name")
-        end = m.end("initials") if m["initials"] else m.end("name")
-        if m["initials"]:
-            end = start + len(m["initials"].rstrip(" -"))
         name = m["name"]
-        if name and (len(name) < 3 or not name.isupper() and re.search(rf"(?:[a-zß-ÿ])[A-ZÀ-Þ]", name.replace("Mc", ""))):
-            last = lead = -1
-            continue
-        if not free(start, end):
+        start = m.start("name") if name else m.start("initials")
+        end = m.end("name") if name else start + len(m["initials"].rstrip(" -"))
+        if name and (len(name) < 3 or not name.isupper() and re.search(r"(?:[a-zß-ÿ])[A-ZÀ-Þ]", name.replace("Mc", ""))) or not free(start, end):
             last = lead = -1
             continue
         gap = _GLUE.fullmatch(text, last, m.start()) if last >= 0 else None
         # what stands before initials is what stands before the name
         lead = lead if gap and gap.lastgroup == "blank" and lead >= 0 else start
-        yield doc, "n" if name else "i", start, end, fold(name) if name else "", "", *(_around(text, lead, end) if name else ("", "", "")), (gap.lastgroup if gap else ""), m.start(), ""
-        last, lead = end, -1 if name else lead
+        glue = gap.lastgroup if gap else None
+        if name:
+            yield row("n", start, end, fold(name), None, _around(text, lead, end), glue, prev)
+        else:
+            yield (doc, "i", start, end, None, None, 0, None, None, None, glue, prev, False, None, None, 0, 0)
+        last, lead, prev = end, -1 if name else lead, end
 
 
-_COLUMNS = "cls string, start int, end int, key string, seed string, l2 string, l3 string, r2 string, glue string, also int, town string"
+_FOUND = "cls string, start int, end int, k bigint, seed string, label int, l2 bigint, l3 bigint, r2 bigint, glue string, prev int, coded boolean, t1 bigint, t2 bigint, far int, near int"
 
 
 def _spans(rows: list) -> list[tuple]:
@@ -208,87 +221,101 @@ def _spans(rows: list) -> list[tuple]:
     return out
 
 
-def find_personal(docs: DataFrame, persons: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _graph(found: DataFrame) -> DataFrame:
+    """``cls, p, k, n, all, label``: how often each pattern stands beside each key, and beside any.
+
+    A pattern that stands in the whole corpus once can only echo its own key, half as loud, so that it needn't be sent
+    around: such edges are left out here and are put back as numbers per key, with the same result."""
+    side = lambda p, label: F.struct(F.col(p).alias("p"), label.cast("int").alias("label"))
+    pairs = F.explode(F.array(side("l2", F.col("label") % 2), side("l3", F.floor(F.col("label") / 2)), side("r2", F.lit(0)))).alias("e")
+    edges = found.where("cls <> 'i'").select("cls", "k", pairs).groupBy("cls", "k", F.col("e.p").alias("p"), F.col("e.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    spread = edges.groupBy("p").agg(F.sum("n").alias("all"), F.max("label").alias("_label")).where("all > 1 or _label > 0").select("p", "all")
+    return edges.join(spread, "p").select("cls", "p", "k", "n", "all", "label")
+
+
+def _scored(graph: DataFrame, trust: DataFrame, all_numbers: bool = False) -> DataFrame:
+    """``cls, p, kind, score, all, label`` of the patterns, by the trust of the keys beside them; a label before a number
+    makes it an id at least as surely as ``LABELLED``.  With ``all_numbers``, patterns of numbers that no trusted key has come out, too, without a kind."""
+    met = graph.join(trust.select("k", "kind", "trust"), "k", "left" if all_numbers else "inner")
+    met = met.where("kind is not null or cls = 'd'") if all_numbers else met
+    score = met.groupBy("cls", "p", "kind", "all").agg((F.coalesce(F.sum(F.col("n") * F.col("trust")), F.lit(0.0)) / (F.col("all") + DOUBT)).alias("score"), F.max("label").alias("label"))
+    labels = graph.where("label > 0").select("cls", "p", F.lit("id_number").alias("kind"), "all", F.lit(LABELLED).alias("score"), "label").distinct()
+    return score.unionByName(labels).groupBy("cls", "p", "kind", "all").agg(F.max("score").alias("score"), F.max("label").alias("label"))
+
+
+def find_personal(docs: DataFrame, persons: DataFrame, *, key: str = "doc_id", text: str = "text", turns: int = TURNS) -> DataFrame:
     """``key, start_pos, end_pos, kind``: each occurrence of an email, phone, id_number, address or person.
 
     Positions count code points from 0, the end is exclusive; occurrences of a document don't overlap.  ``persons``
-    has the known persons' given_name and surname; null names give no seed.  Null and empty texts and null keys give no rows.  Rows
-    that repeat key and text count once.  Other columns are ignored; an empty table gives an empty result.
-
-    Plan: one pass over the texts yields candidates, which are written; the graph of patterns and keys is one
-    row per distinct edge, counted before it is sent; it is scored by joins on the pattern and on the key in turn.
-    Joins with what is accepted are left to Spark, which sends a side to all tasks only if it is small."""
+    has the known persons' given_name and surname; null names give no seed.  Null and empty texts and null keys give no rows.  Of rows
+    that repeat key and text, each occurrence comes out once.  Other columns are ignored; an empty table gives an empty result.
+
+    Plan: one pass over the texts yields candidates, which are written as a table; the graph of patterns and keys is
+    one row per distinct edge, counted before it is sent; in each of ``turns`` turns it is scored by a join on the key and one on the
+    pattern, which are numbers.  Of the candidates only those that may yet be accepted go on; all that
+    is known of a candidate's contexts and town comes by one more join.  Frequent keys and patterns are left to
+    Spark's splitting of skewed joins, as are joins with a side small enough to be sent to all tasks."""
     kind = docs.schema[key].dataType.simpleString()
+    schema = to_arrow_schema(_parse_datatype_string(f"doc {kind}, {_FOUND}"))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [c for d, t in zip(pdf["doc"], pdf["text"]) for c in candidates(d, t)]
-            frame = pd.DataFrame(rows, columns=["doc", "cls", "start", "end", "key", "seed", "l2", "l3", "r2", "glue", "also", "town"])
-            yield frame
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [c for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in candidates(d, t)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    base = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") > 0))
-    found = cut(base.mapInPandas(read, f"doc {kind}, {_COLUMNS}").distinct())
-    known = persons.select(F.explode(F.array("given_name", "surname")).alias("name")).where("name is not null and length(name) > 1")
+    base = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") > 0))
+    found = stored(base.mapInArrow(read, f"doc {kind}, {_FOUND}"))
+    graph = stored(_graph(found))
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<bigint>")
     def tokens(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: [fold(x) for x in re.findall(_CAP, n)])
-
-    folded = known.select(F.explode(tokens("name")).alias("key")).where("length(key) > 2").distinct()
-    seeds = found.where("seed <> '' and cls <> 'e'").groupBy("cls", "key").agg(F.min("seed").alias("kind")).withColumn("trust", F.lit(1.0))
-    seeds = seeds.unionByName(folded.select(F.lit("n").alias("cls"), "key", F.lit("person").alias("kind"), F.lit(1.0).alias("trust")))
-    pattern = F.explode(F.array("l2", "l3", "r2")).alias("pattern")
-    edges = cut(found.where("cls in ('n', 'd', 's')").select("cls", "key", pattern).groupBy("cls", "key", "pattern").agg(F.count(F.lit(1)).alias("n")))
-    # A pattern that nothing but one key has says nothing about others.
-    spread = edges.groupBy("cls", "pattern").agg(F.sum("n").alias("all"))
-    labelled = spread.where((F.col("cls") == "d") & F.col("pattern").startswith("l") & F.col("pattern").rlike("(?i)" + _ID_LABEL.pattern)).select("cls", "pattern", F.lit("id_number").alias("kind"), F.lit(0.95).alias("score"), "all")
-    trust = cut(seeds)
-    for turn in range(TURNS):
-        good = edges.join(trust, ["cls", "key"]).groupBy("cls", "pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("good"))
-        scored = good.join(spread, ["cls", "pattern"]).select("cls", "pattern", "kind", (F.col("good") / (F.col("all") + DOUBT)).alias("score"), "all")
-        scored = cut(scored.unionByName(labelled).groupBy("cls", "pattern", "kind").agg(F.max("score").alias("score"), F.max("all").alias("all")))
-        if turn == TURNS - 1:
-            break
-        per_key = edges.groupBy("cls", "key").agg(F.sum("n").alias("all"))
-        mean = edges.join(scored.drop("all"), ["cls", "pattern"]).groupBy("cls", "key", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("sum"))
-        learned = mean.join(per_key, ["cls", "key"]).select("cls", "key", "kind", F.least(F.lit(1.0), F.col("sum") / (F.col("all") + F.lit(0.2)) * F.lit(1.2)).alias("trust")).where("trust >= 0.25")
-        trust = cut(learned.unionByName(seeds).groupBy("cls", "key", "kind").agg(F.max("trust").alias("trust")))
-    best_key = trust.groupBy("cls", "key").agg(F.max_by("kind", "trust").alias("k_kind"), F.max("trust").alias("k_trust"))
-    # Only what can decide is joined: good patterns, and for numbers those that are known to be bad as well.
-    every = spread.where("cls = 'd' and all >= 4").join(scored.drop("all"), ["cls", "pattern"], "left").select("cls", "pattern", "kind", F.coalesce("score", F.lit(0.0)).alias("score"), "all")
-    say = scored.where(f"cls <> 'd' and score >= {TRUSTED}").unionByName(every).groupBy("cls", "pattern").agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
-    say = cut(say)
-    met = edges.join(scored.drop("all"), ["cls", "pattern"], "left").groupBy("cls", "key").agg((F.sum("n") / 3).alias("k_n"), (F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / 3).alias("k_sum"))
-    rows = found.where("cls in ('n', 'd', 's')").join(best_key, ["cls", "key"], "left").join(met.where("cls = 'n'"), ["cls", "key"], "left")
-    for p in ("l2", "l3", "r2"):
-        rows = rows.join(say.select("cls", F.col("pattern").alias(p), F.col("kind").alias(f"{p}_kind"), F.col("score").alias(f"{p}_score")), ["cls", p], "left")
-    known_left = F.col("l2_score").isNotNull() | F.col("l3_score").isNotNull()
-    left = F.greatest(F.coalesce("l2_score", F.lit(0.0)), F.coalesce("l3_score", F.lit(0.0)))
-    left_kind = F.when(F.coalesce("l3_score", F.lit(0.0)) >= F.coalesce("l2_score", F.lit(0.0)), F.col("l3_kind")).otherwise(F.col("l2_kind"))
-    sure = F.coalesce("k_trust", F.lit(0.0))
-    right = F.coalesce("r2_score", F.lit(0.0))
-    number = F.when(left >= TRUSTED, left_kind).when((right >= TRUSTED) & (sure >= 0.3), F.col("r2_kind")).when((sure >= 0.8) & ~(known_left & (left < 0.15)), F.col("k_kind"))
-    # A word that is often met elsewhere is no name, however good the pattern.
-    name = F.when((sure >= TRUSTED) | ((left >= STRONG) & (F.coalesce("k_n", F.lit(0)) - F.coalesce("k_sum", F.lit(0.0)) <= 3)), F.lit("person"))
-    # A rare word goes with a name beside it, as an unknown given name or surname.
-    name = F.coalesce(name, F.when((F.coalesce("k_n", F.lit(0)) <= 3) | ((F.col("k_n") <= 9) & (F.col("k_sum") >= F.lit(0.1) * F.col("k_n"))), F.lit("maybe")))
-    street = F.when((sure >= TRUSTED) | (left >= TRUSTED), F.lit("address"))
-    rows = rows.withColumn("kind", F.when(F.col("cls") == "d", number).when(F.col("cls") == "n", name).otherwise(street)).where("kind is not null")
-    # Towns are known where a postcode stands beside them.
-    named = F.explode(F.split("town", r"\|"))
-    towns = found.where("cls = 's' and glue = 'coded' and town <> ''").select(named.alias("a_town")).distinct()
-    streets = rows.where("cls = 's'").select("doc", "cls", "start", "end", "kind", "glue", "also", "town").withColumns({"t1": F.split("town", r"\|")[0], "t2": F.try_element_at(F.split("town", r"\|"), F.lit(2))})
-    streets = streets.join(towns.select(F.col("a_town").alias("t1"), F.lit(True).alias("k1")), "t1", "left").join(towns.select(F.col("a_town").alias("t2"), F.lit(True).alias("k2")), "t2", "left")
-    # Of a two-word town of which only the first word is known, the address ends behind that word.
-    shorter = F.col("also") - (F.length("t1") - F.length("t2"))
-    stop = F.when((F.col("glue") == "coded") | F.col("k1"), F.col("also")).when(F.col("k2"), shorter).otherwise(F.col("end"))
-    accepted = streets.select("doc", "cls", "start", "end", "kind", stop.alias("stop"), "glue", "also")
-    accepted = accepted.unionByName(rows.where("cls <> 's'").select("doc", "cls", "start", "end", "kind", F.col("end").alias("stop"), "glue", "also"))
-    certain = found.where("cls in ('e', 'i')").select("doc", "cls", "start", "end", F.when(F.col("cls") == "e", F.lit("email")).otherwise(F.lit("person")).alias("kind"), F.col("end").alias("stop"), "glue", "also")
-    # For a name that goes on, the token before must be the accepted one, so its end rides along.
-    order = Window.partitionBy("doc", F.col("cls").isin("n", "i")).orderBy("start")
-    ends = found.where("cls in ('n', 'i')").select("doc", "cls", "start", F.lag("end").over(order).alias("prev"))
-    together = accepted.unionByName(certain).join(ends, ["doc", "cls", "start"], "left")
+        return names.map(lambda n: [_number("n", fold(x)) for x in re.findall(_CAP, n) if len(fold(x)) > 2])
+
+    known = persons.select(F.explode(F.array("given_name", "surname")).alias("name")).where("length(name) > 1")
+    known = known.select(F.explode(tokens("name")).alias("k")).distinct().withColumn("_person", F.lit("person"))
+    # n: how often a key occurs; rare: how often with a pattern that occurs once.
+    sizes = found.where("cls <> 'i'").groupBy("cls", "k").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed"))
+    keys = sizes.join(graph.groupBy("k").agg(F.sum("n").alias("_m")), "k", "left").join(known, "k", "left")
+    keys = stored(keys.select("cls", "k", "n", (3 * F.col("n") - F.coalesce("_m", F.lit(0))).alias("rare"), F.coalesce("seed", "_person").alias("seed")))
+    trust = keys.where("seed is not null").select("k", F.col("seed").alias("kind"), F.lit(1.0).alias("trust"), "rare")
+    echo = (F.col("rare") * F.col("trust") / (1 + DOUBT)).alias("sum")
+    for _ in range(turns - 1):
+        met = graph.join(_scored(graph, trust).select("p", "kind", "score"), "p").select("k", "kind", (F.col("n") * F.col("score")).alias("sum"))
+        mean = met.unionByName(trust.select("k", "kind", echo)).groupBy("k", "kind").agg(F.sum("sum").alias("sum")).join(keys, "k")
+        learned = F.least(F.lit(1.0), F.col("sum") / (3 * F.col("n") + 0.2) * 1.2)
+        trust = stored(mean.select("k", "kind", F.when(F.col("seed") == F.col("kind"), F.lit(1.0)).otherwise(learned).alias("trust"), "rare").where("trust >= 0.25"))
+    scored = stored(_scored(graph, trust, all_numbers=True))
+    met = graph.where("cls = 'n'").join(scored.where("cls = 'n'").select("p", "score"), "p").select("k", (F.col("n") * F.col("score")).alias("sum"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("trust"))
+    per = met.unionByName(trust.select("k", echo, "kind", "trust")).groupBy("k").agg((F.sum("sum") / 3).alias("met"), F.max_by("kind", "trust").alias("k_kind"), F.max("trust").alias("sure"))
+    per = keys.select("cls", "k", "n").join(per, "k", "left").select("cls", "k", "n", F.coalesce("met", F.lit(0.0)).alias("met"), "k_kind", F.coalesce("sure", F.lit(0.0)).alias("sure"))
+    # A word that is often met elsewhere is no name, however good the pattern; a rare word goes with a name beside it, as an unknown given name or surname.
+    few, beside = (F.col("n") - F.col("met") <= 3), (F.col("n") <= 3) | ((F.col("n") <= 9) & (F.col("met") >= 0.1 * F.col("n")))
+    per = per.select("k", "k_kind", "sure", few.alias("few"), beside.alias("beside")).where((F.col("cls") != "n") | (F.col("sure") >= TRUSTED) | F.col("few") | F.col("beside"))
+    place = ["doc", "cls", "start", "end"]
+    rest = ["glue", "prev", "far", "near", "coded", "k_kind", "sure", "few", "beside"]
+    open_ = stored(found.where("k is not null").join(per, "k").select(*place, *rest, "l2", "l3", "r2", "t1", "t2"))
+    # Only what can decide is joined: good patterns, and for numbers those that are known to be bad as well; towns are known where a postcode stands beside them.
+    numbers = scored.where("cls = 'd' and (all >= 4 or label > 0)")
+    say = scored.where((F.col("cls") == "n") & (F.col("score") >= STRONG) | F.col("cls").isin("s", "e") & (F.col("score") >= TRUSTED)).unionByName(numbers).groupBy("p").agg(F.max_by("kind", "score").alias("said"), F.max("score").alias("score"))
+    towns = found.where("coded").select(F.explode(F.array("t1", "t2")).alias("p")).where("p is not null").distinct()
+    say = say.unionByName(towns.select("p", F.lit("town").alias("said"), F.lit(1.0).alias("score")))
+    sides = F.posexplode(F.array("l2", "l3", "r2", "t1", "t2")).alias("side", "p")
+    marks = open_.where(f"cls <> 'n' or few and sure < {TRUSTED}").select(*place, sides).where("p is not null").join(say, "p").select(*place, "side", "said", "score")
+    # All rows of a text meet once: those of one candidate become one, then those of the text are put together.
+    alone = found.where("cls = 'i'").select(*place, "glue", "prev", "far", "near", "coded")
+    rows = open_.select(*place, *rest).unionByName(alone, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True).repartition("doc").groupBy(*place)
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    rows = rows.agg(*(F.max(c).alias(c) for c in rest), *(of(i, "said").alias(f"said{i}") for i in range(3)), *(of(i, "score").alias(f"score{i}") for i in range(5)))
+    seen = F.col("score0").isNotNull() | F.col("score1").isNotNull()
+    left = F.greatest(F.coalesce("score0", F.lit(0.0)), F.coalesce("score1", F.lit(0.0)))
+    left_kind = F.when(F.coalesce("score1", F.lit(0.0)) >= F.coalesce("score0", F.lit(0.0)), F.col("said1")).otherwise(F.col("said0"))
+    number = F.when(left >= TRUSTED, left_kind).when((F.col("score2") >= TRUSTED) & (F.col("sure") >= 0.3), F.col("said2")).when((F.col("sure") >= 0.8) & ~(seen & (left < 0.15)), F.col("k_kind"))
+    name = F.when((F.col("sure") >= TRUSTED) | ((left >= STRONG) & F.col("few")), F.lit("person")).when(F.col("beside"), F.lit("maybe"))
+    fixed = F.when((F.col("sure") >= TRUSTED) | (left >= TRUSTED), F.when(F.col("cls") == "s", F.lit("address")).otherwise(F.lit("email")))
+    decided = F.when(F.col("cls") == "d", number).when(F.col("cls") == "n", name).when(F.col("cls") == "i", F.lit("person")).otherwise(fixed)
+    stop = F.when(F.col("cls") != "s", F.col("end")).when(F.col("coded") | F.col("score3").isNotNull(), F.col("far")).when(F.col("score4").isNotNull(), F.col("near")).otherwise(F.col("end"))
+    accepted = rows.select("doc", "cls", "start", "end", stop.alias("stop"), decided.alias("kind"), "glue", "prev").where("kind is not null")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list = []
@@ -304,8 +331,8 @@ def find_personal(docs: DataFrame, persons: DataFrame, *, key: str = "doc_id", t
         if rows:
             yield pd.DataFrame([(rows[0].doc, *s) for s in _spans(rows)], columns=columns)
 
-    # The rows of one text end up in one task, which sees them in order; a text is never larger than a row.
-    merged = together.where(F.col("doc").isNotNull()).repartition("doc").sortWithinPartitions("doc", "start").mapInPandas(merge, f"doc {kind}, start_pos bigint, end_pos bigint, kind string")
+    # The rows of one text are in one task already, which sees them in order; a text is never larger than a row.
+    merged = accepted.sortWithinPartitions("doc", "start").mapInPandas(merge, f"doc {kind}, start_pos bigint, end_pos bigint, kind string")
     return merged.toDF(key, "start_pos", "end_pos", "kind")
 
 
