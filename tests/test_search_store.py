@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from unitquarry.engine import Engine
-from unitquarry.functions.embedding import HashingEmbedder, TransientError, with_retry
-from unitquarry.operators import search, store
+from unitquarry.functions.embedding import HashingEmbedder, TransientError, embedded, transient, with_retry
+from unitquarry.operators import scopes, search, store
 from unitquarry.streaming.ingest import ingest_available
 
 CHUNKS = "id long, library string, version string, unit_name string, chunk_type string, identifier string, content string, visibility string, embedding array<float>"
@@ -35,7 +36,7 @@ def test_namespaces_pull_candidates_from_beyond_k(spark):
     assert [r.id for r in search.rerank(c, q, k=1, ranking=search.Ranking(namespaces=())).collect()] == [0]
 
 
-def test_candidates_in_blocks_ties_and_odd_vectors(spark, monkeypatch):
+def test_candidates_in_blocks_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [chunk(i, rng.normal(size=64).tolist(), library="ab"[i % 2]) for i in range(60)] + [chunk(100 + i, vec(1.0)) for i in range(4)]
     rows += [chunk(200, None), chunk(201, []), chunk(202, vec(0.0)), chunk(203, vec(1.0), library=None)]
@@ -44,8 +45,14 @@ def test_candidates_in_blocks_ties_and_odd_vectors(spark, monkeypatch):
     want = sorted((r.query_id, r.id, r.base_rank) for r in search.candidates(c, q, k=3).collect())
     assert {i for i, *_ in want} == {*range(60), *range(100, 104)}
     assert [(i, r) for n, i, r in want if n == 103] == [(100, 1), (101, 2), (102, 3)]
-    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
-    assert sorted((r.query_id, r.id, r.base_rank) for r in search.candidates(c, q, k=3).collect()) == want
+    own_k = q.withColumn("version", F.when(F.col("query_id") % 3 == 0, "1"))
+    for scoped in (True, False):
+        k = F.when(F.col("query_id") < 100, F.col("query_id") % 4)
+        few, many = (sorted((r.query_id, r.id, r.base_rank) for r in search.candidates(c, own_k, k=k, scoped=scoped, block=b).collect()) for b in (4096, 7))
+        assert few == many and {n: sum(x[0] == n for x in few) for n in range(60)} == {n: n % 4 for n in range(60)} and not any(x[0] >= 100 for x in few)
+    assert sorted((r.query_id, r.id, r.base_rank) for r in search.candidates(c, q, k=3, block=7).collect()) == want
+    elsewhere = q.withColumn("version", F.lit("2"))
+    assert search.candidates(c, elsewhere, k=3).count() == 0 and search.candidates(c, elsewhere, k=3, block=7).count() == 0
     assert search.candidates(c, q.limit(0), k=3).count() == 0 and search.candidates(c.limit(0), q, k=3).count() == 0
 
 
@@ -55,6 +62,36 @@ def test_lookup_prefers_the_longest_and_reports_misses(spark):
     assert sorted((r.query_id, r.found, r.id) for r in search.lookup(c, names).collect()) == [("a", True, 2), ("b", False, None), ("c", False, None)]
 
 
+def test_fan_out_in_order_and_reports(spark):
+    rows = [chunk(i, vec(1.0, 0.1 * i), version=v, content=f"c{i}") for i, v in enumerate(["1", "1", "2", "2", "3"])]
+    c = spark.createDataFrame([(*r, "interface", 7) for r in rows], CHUNKS + ", section string, start_line int")
+    q = spark.createDataFrame([("a", n, "l", v, vec(1.0)) for n, v in ((1, "2"), (2, "9"), (3, "1"))], "query_id string, pos long, library string, version string, embedding array<float>")
+    assert sorted((r.pos, r["rank"], r.id) for r in search.fanout(c, q, k=5).collect()) == [(1, 1, 2), (1, 2, 3), (3, 1, 0), (3, 2, 1)]
+    asked = spark.createDataFrame([("a", "x y", "l", "3"), ("b", None, "l", "9"), ("c", None, None, None)], "query_id string, text string, library string, version string")
+    hits = search.rerank(c, asked.where("query_id = 'a'").withColumn("embedding", F.array(*map(F.lit, vec(1.0)))), k=2)
+    got = {r.query_id: r.report for r in search.rendered(hits, c, asked).collect()}
+    assert got["a"] == 'Found 1 relevant l chunks for: "x y"\n\n--- [1] Demo.U.TX (type, interface, visibility public, l 3, line 7) [distance: 0.0694] ---\nc4\n'
+    assert got["b"] == "No relevant l source found for that query (version 9)." and got["c"] == "No relevant  source found for that query."
+
+
+def test_queries_without_a_library_are_for_every_library(spark):
+    delivered = spark.range(12_000).selectExpr("concat('L', id) as library", "'1' as version", "timestamp'2020-01-01' as released_at")
+    q = spark.createDataFrame([("a", None, None), ("b", " ", "7"), ("c", "l5", None)], "query_id string, library string, version string")
+    assert {r.query_id: r["count"] for r in scopes.expanded(q, delivered).groupBy("query_id").count().collect()} == {"a": 12_000, "b": 12_000, "c": 1}
+
+
+def test_long_texts_are_embedded_in_pieces(spark):
+    class Lengths:
+        most_chars = 4
+
+        def embed(self, texts):
+            assert max(map(len, texts)) <= 4
+            return [[float(len(t)), 1.0] for t in texts]
+
+    docs = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None), (4, "ab")], "id long, content string")
+    assert {r.id: r.embedding for r in embedded(docs, Lengths()).collect()} == {1: [pytest.approx(3.6), 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0], 4: [2.0, 1.0]}
+
+
 def test_store_round_trip_evolution_and_deletion(spark, tmp_path):
     path = str(tmp_path / "store")
     c = spark.createDataFrame([chunk(1, vec(1.0), version="12.0"), chunk(2, None, version="12.10")], CHUNKS)
@@ -85,6 +122,11 @@ def test_engine_indexes_resumes_and_streams(spark, tmp_path):
     names = spark.createDataFrame([("1", "TAlpha", "lib", None), ("2", "TBeta", None, None)], "query_id string, text string, library string, version string")
     got = sorted((r.query_id, r.match) for r in e.lookup(names).collect())
     assert got == [("1", "exact")] + [("2", "semantic")] * 3
+    asked = spark.createDataFrame([("1", "class TAlpha", "lib", "1.0", 2), ("2", "class TAlpha", "lib", "9", 2), ("3", "run", None, None, None)], "query_id string, text string, library string, version string, k int")
+    assert {r.query_id: r["count"] for r in e.search(asked).groupBy("query_id").count().collect()} == {"1": 2, "3": 4}
+    assert e.bench("lib", times=1)["hits"] == 4
+    with pytest.raises(ValueError, match="32"):
+        Engine(spark, str(tmp_path / "s"), HashingEmbedder(32)).search(asked)
     assert e.reset("lib", None, str(tmp_path / "t")) == 4
     for n in (4, 4):
         ingest_available(spark, str(src), "lib", "2.0", str(tmp_path / "u"), str(tmp_path / "cp"), HashingEmbedder()).awaitTermination(60)
@@ -101,5 +143,8 @@ def test_retry():
         return ["ok"]
 
     assert with_retry(flaky, ["a"], sleep=waits.append) == ["ok"] and waits == [1.0, 2.0]
+    assert transient(TimeoutError()) and transient(ConnectionResetError()) and not transient(ValueError())
+    with pytest.raises(ValueError):
+        with_retry(lambda t: [][1:] if t else float("x"), [], sleep=waits.append)
     with pytest.raises(TransientError):
         with_retry(lambda t: (_ for _ in ()).throw(TransientError()), ["a"], sleep=waits.append)

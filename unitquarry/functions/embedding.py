@@ -11,10 +11,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
-BATCH, MOST_CHARS, ATTEMPTS = 25, 6000, 4
+BATCH, ATTEMPTS = 25, 4
 
 
 class Embedder(Protocol):
+    """``most_chars``, if an embedder has it, is the longest text that it takes; longer ones are embedded in pieces."""
+
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
@@ -22,6 +24,12 @@ class TransientError(Exception):
     """An error after which trying again may help."""
 
 
+def transient(error: Exception) -> bool:
+    """Whether trying again may help: errors that say so, broken connections, time-outs, and answers with a status of 429 or of the server's fault."""
+    status = getattr(error, "status", None)
+    return isinstance(error, (TransientError, ConnectionError, TimeoutError)) or (isinstance(status, int) and (status == 429 or 500 <= status < 600))
+
+
 class HashingEmbedder:
     """Words hashed to signed places of a unit vector: deterministic, for tests and where no model is at hand."""
 
@@ -43,20 +51,33 @@ def with_retry(call: Callable[[list[str]], list], texts: list[str], *, attempts:
     for turn in range(attempts):
         try:
             return call(texts)
-        except TransientError:
-            if turn == attempts - 1:
+        except Exception as error:
+            if turn == attempts - 1 or not transient(error):
                 raise
             sleep(wait * 2**turn)
     return []
 
 
+def pieces(texts: list[str], most: int | None) -> tuple[list[str], list[int]]:
+    """``texts`` cut into pieces of at most ``most`` characters, and the text that each piece is of; empty texts are one piece."""
+    cut = [[t[i : i + most] for i in range(0, max(1, len(t)), most)] if most else [t] for t in texts]
+    return [p for c in cut for p in c], [n for n, c in enumerate(cut) for _ in c]
+
+
 def embedded(chunks: DataFrame, embedder: Embedder, *, text: str = "content", batch: int = BATCH) -> DataFrame:
-    """``chunks`` with ``embedding``: texts are cut to a bounded length for the embedder and sent in batches; a null text counts as empty."""
+    """``chunks`` with ``embedding``: texts are sent in batches; a null text counts as empty.
+
+    Of a text that is too long for the embedder, the mean of its pieces' vectors, weighted by their lengths."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [(t or "")[:MOST_CHARS] for t in pdf[text]]
-            vectors = [v for at in range(0, len(texts), batch) for v in with_retry(embedder.embed, texts[at : at + batch])]
+            parts, owner = pieces([t or "" for t in pdf[text]], getattr(embedder, "most_chars", None))
+            vectors = [v for at in range(0, len(parts), batch) for v in with_retry(embedder.embed, parts[at : at + batch])]
+            if len(parts) > len(pdf):
+                weight = np.array([max(1, len(p)) for p in parts], float)
+                sums = np.zeros((len(pdf), len(vectors[0])))
+                np.add.at(sums, owner, np.asarray(vectors) * weight[:, None])
+                vectors = list(sums / np.bincount(owner, weight)[:, None])
             yield pdf.assign(embedding=vectors)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema if f.name != "embedding")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOP_K = (1, 10)
+#: Groups that queries for every library are dealt to.
+SPREAD = 32
 
 
 def clamped(k: Column, most: Column | None = None) -> Column:
@@ -33,5 +35,8 @@ def expanded(queries: DataFrame, delivered: DataFrame, *, most: int = 3) -> Data
     q = queries.select("query_id", F.when(F.trim("library") != "", F.trim("library")).alias("library"), F.when(F.trim("version") != "", F.trim("version")).alias("version"))
     own = q.where("library is not null and version is not null").select("query_id", "library", "version", F.lit(1).alias("pos"))
     open_ = q.where("library is not null and version is null").join(listed, F.lower("library") == F.lower("_l")).select("query_id", "library", F.col("_v").alias("version"), "pos")
-    every = q.where("library is null").crossJoin(F.broadcast(listed.where("pos = 1").limit(10_000))).select("query_id", F.col("_l").alias("library"), F.col("_v").alias("version"), "pos")
+    # Each query without a library meets every library: by a key that deals the queries to SPREAD groups.
+    salted = q.where("library is null").withColumn("_s", F.pmod(F.xxhash64("query_id"), F.lit(SPREAD)))
+    last = listed.where("pos = 1").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    every = salted.join(last, "_s").select("query_id", F.col("_l").alias("library"), F.col("_v").alias("version"), "pos")
     return own.unionAll(open_).unionAll(every).withColumn("pos", F.col("pos").cast("bigint"))

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from unitquarry.functions.text import split_list
 from unitquarry.functions.vectors import norm
 from unitquarry.operators import diagnostics, scopes, store
+from unitquarry.session import scratch
 from unitquarry.sources.tables import table
 
 
@@ -21,6 +22,23 @@ def list_versions(spark, d):
     return listed.join(store.counts(table(spark, d, "chunks")), ["library", "version"], "left").select("library", "version", "channel", "pos", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
+def store_roundtrip(spark, d):
+    """Each scope of a store that all chunks were appended to and that was compacted then, as it is read back."""
+    path, to = scratch(spark), scratch(spark)
+    store.append(table(spark, d, "chunks"), path)
+    store.compact(spark, path, to)
+    back = store.read(spark, to)
+    return back.groupBy("library", "version").agg(F.count(F.lit(1)).alias("chunks"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum(F.length("content")).cast("bigint").alias("size"), F.count("embedding").alias("vectors"))
+
+
+def schema_evolve(spark, d):
+    """The visibilities of a store to which chunks with odd ids were added before it had that column."""
+    path, c = scratch(spark), table(spark, d, "chunks")
+    store.append(c.where("id % 2 = 1").drop("visibility", "indexed_at"), path)
+    store.append(c.where("id % 2 = 0"), path)
+    return store.read(spark, path).groupBy("library", "version", "visibility").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def sample_embedding(spark, d):
     first = store.first_embedding(table(spark, d, "chunks"))
     return first.select("library", "version", "id", F.round(norm(F.col("embedding")), 6).alias("norm"))
@@ -34,7 +52,7 @@ def _scopes(spark, d):
 def scan_scope(spark, d):
     """The chunks in any scope of an enabled profile."""
     c, s = table(spark, d, "chunks"), _scopes(spark, d)
-    return c.join(F.broadcast(s), (F.lower(c["library"]) == s["library"]) & (c["version"] == s["version"]), "left_semi").select("id", "library", "version", "unit_name")
+    return c.join(s, (F.lower(c["library"]) == s["library"]) & (c["version"] == s["version"]), "left_semi").select("id", "library", "version", "unit_name")
 
 
 def delete_scope(spark, d):
@@ -68,9 +86,9 @@ def fanout_lookup(spark, d):
     """The chunks of each name, that of every chunk whose id is divisible by 100, in the last three versions of its library, newest first; scopes without any are left out."""
     c, r = table(spark, d, "chunks"), table(spark, d, "releases")
     names = c.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("identifier").alias("text"), "library", F.lit(None).cast("string").alias("version"))
-    q = scopes.expanded(names, c.select("library", "version").distinct().join(r, ["library", "version"])).join(names.select("query_id", "text"), "query_id")
-    per = c.groupBy(F.lower("library").alias("l"), F.col("version").alias("v"), F.col("identifier").alias("text")).agg(F.count(F.lit(1)).alias("hits"))
-    return q.join(per, "text").where("lower(library) = l and version = v").select("query_id", "library", "version", "pos", "hits")
+    q = scopes.expanded(names, c.select("library", "version").distinct().join(r, ["library", "version"])).join(names.select("query_id", "text"), "query_id").withColumn("l", F.lower("library"))
+    per = c.groupBy(F.lower("library").alias("l"), "version", F.col("identifier").alias("text")).agg(F.count(F.lit(1)).alias("hits"))
+    return q.join(per, ["text", "l", "version"]).select("query_id", "library", "version", "pos", "hits")
 
 
 def parse_versions(spark, d):
@@ -94,7 +112,7 @@ def diag_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (count_chunks, list_versions, sample_embedding, scan_scope, delete_scope, scope_group, scope_expand, scope_limits, profile_limits, fanout_lookup, parse_versions, diag_dedupe, diag_order, diag_report)
+    for f in (count_chunks, list_versions, store_roundtrip, schema_evolve, sample_embedding, scan_scope, delete_scope, scope_group, scope_expand, scope_limits, profile_limits, fanout_lookup, parse_versions, diag_dedupe, diag_order, diag_report)
 }
 
 _SCOPES = "s AS (SELECT DISTINCT lower(trim(library)) AS l, trim(version) AS v FROM profile_scopes WHERE enabled AND library IS NOT NULL AND version IS NOT NULL)"
@@ -113,6 +131,8 @@ ORACLE = {
     "count_chunks": "SELECT library, version, count(*) AS chunks FROM chunks GROUP BY ALL",
     "list_versions": """WITH c AS (SELECT library, version, count(*) AS chunks FROM chunks GROUP BY ALL)
 SELECT library, version, channel, row_number() OVER (PARTITION BY library ORDER BY released_at NULLS FIRST, version) AS pos, coalesce(chunks, 0) AS chunks FROM releases LEFT JOIN c USING (library, version)""",
+    "store_roundtrip": "SELECT library, version, count(*) AS chunks, min(id) AS first, max(id) AS last, sum(length(content))::BIGINT AS size, count(embedding) AS vectors FROM chunks GROUP BY ALL",
+    "schema_evolve": "SELECT library, version, CASE WHEN id % 2 = 0 THEN visibility END AS visibility, count(*) AS chunks FROM chunks GROUP BY ALL",
     "sample_embedding": """SELECT library, version, id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM chunks
 QUALIFY row_number() OVER (PARTITION BY library, version ORDER BY id) = 1""",
     "scan_scope": f"WITH {_SCOPES} SELECT id, library, version, unit_name FROM chunks SEMI JOIN s ON lower(library) = l AND version = v",

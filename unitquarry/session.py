@@ -43,17 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table and read again: as lasting as a checkpoint, but compressed, and read by column.
-
-    The table goes when the session ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder, which is cleared when the session ends."""
     path = f"{_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read again: as lasting as a checkpoint, but compressed, and read by column."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

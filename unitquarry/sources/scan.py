@@ -14,11 +14,17 @@ def _numbered(files: DataFrame, library: str, version: str) -> DataFrame:
 
 
 def scan_tree(spark: SparkSession, root: str, library: str, version: str) -> DataFrame:
-    """``file_id, library, version, file_path, source_text`` of all units below ``root``; unreadable files are left out.  The id is a hash of scope and path."""
+    """``file_id, library, version, file_path, source_text`` of all units below ``root``; unreadable files are left out (``unreadable`` counts them).  The id is a hash of scope and path."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", PASCAL).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(root, wholetext=True)
     return _numbered(files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("source_text")), library, version)
 
 
+def unreadable(spark: SparkSession, root: str, files: DataFrame) -> int:
+    """How many units below ``root`` ``files`` lacks, as they couldn't be read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PASCAL).load(root).select(F.col("path").alias("file_path"))
+    return listed.join(files.select("file_path"), "file_path", "left_anti").count()
+
+
 def stream_tree(spark: SparkSession, root: str, library: str, version: str) -> DataFrame:
     """The same as a stream of the files that come in."""
     files = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", PASCAL).option("wholetext", True).format("text").load(root)
