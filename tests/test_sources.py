@@ -157,9 +157,64 @@ def test_reports_and_declaring_types(spark):
     got = {r.file_id: (r.unit_name, r.nodes, r.symbols, r.returned_symbols, r.truncated, r.code) for r in parsing.unit_report(files, most_symbols=2).collect()}
     assert got == {1: ("A", 4, 3, 2, True, None), 2: (None, 1, 0, 0, False, "DP3001")}
     place = (0, 0, 0, 0)
-    tree = [(1, "a", None, "unit", "A", *place), (1, "b", "a", "class", "B", *place), (1, "c", "b", "method", "C", *place), (1, "d", "c", "method", "D", *place), (1, "e", "a", "method", "E", *place)]
+    tree = [(1, "a", None, "unit", "A", *place, None), (1, "b", "a", "class", "B", *place, None), (1, "c", "b", "method", "C", *place, None), (1, "d", "c", "method", "D", *place, None), (1, "e", "gone", "method", "E", *place, None)]
     out = parsing.declaring_types(spark.createDataFrame(tree, parsing.NODES))
     assert {r.id: r.declaring_type for r in out.collect()} == {"a": None, "b": None, "c": "B", "d": "B", "e": None}
+    with pytest.raises(Exception, match="two nodes of one id"):
+        parsing.declaring_types(spark.createDataFrame([*tree, tree[0]], parsing.NODES)).collect()
+
+
+def test_parse_results_are_nested_cut_and_written_as_text(spark):
+    files = spark.createDataFrame([(1, "unit A;\ninterface\ntype\n  T = class\n  end;\n"), (2, ""), (3, None)], "file_id long, source_text string")
+    got = {r.file_id: r for r in parsing.parse_results(files, most_nodes=2, most_symbols=5).collect()}
+    assert set(got) == {1, 2} and [n.kind for n in got[1].nodes] == ["unit", "interface_section"] and got[1].nodes_truncated and not got[1].symbols_truncated
+    assert [s.signature for s in got[1].symbols] == ["unit A;", "T = class;"] and [d.code for d in got[2].diagnostics] == ["DP3001"] and not got[2].symbols
+    text = parsing.as_json(parsing.parse_results(files)).where("file_id = 2").first().json
+    assert '"unit_name":null' in text and '"kind":"unit"' in text and '"severity":"Warning"' in text
+
+
+DEEP = """unit A;
+interface
+type
+  TEnum = (a, b);
+  TBase = class;
+  TOuter = class(TBase, IThing)
+    FSize: Integer;
+  strict private
+    type
+      TInner = record
+        X: record Y: Integer; end;
+        procedure Reset;
+      end;
+    class procedure Load(const A: TInner; B: Integer); static;
+  published
+    property Size: Integer read FSize;
+    function Name: string;
+  end;
+  THelp = class helper for TOuter
+    procedure More;
+  end;
+  IFoo = interface
+    procedure Run;
+  end;
+procedure Alone;
+implementation
+end.
+"""
+
+
+def test_members_of_types_as_symbols(spark):
+    files = spark.createDataFrame([(1, DEEP), (2, "unit B; interface type T = class"), (3, "")], "file_id long, source_text string")
+    found = parsing.nodes(files, deep=True)
+    got = [(r.name, r.kind, r.visibility, r.declaring_type, r.unit_name) for r in parsing.symbols(found).where("file_id = 1").orderBy("start_line", "start_column").collect()]
+    assert got == [
+        ("A", "unit", None, None, "A"), ("TEnum", "type", None, None, "A"), ("TBase", "class", None, None, "A"), ("TOuter", "class", None, None, "A"),
+        ("TInner", "record", "private", "TOuter", "A"), ("Reset", "method", None, "TInner", "A"), ("Load", "method", "private", "TOuter", "A"),
+        ("Size", "property", "published", "TOuter", "A"), ("Name", "method", "published", "TOuter", "A"),
+        ("THelp", "helper", None, None, "A"), ("More", "method", None, "THelp", "A"), ("IFoo", "interface", None, None, "A"), ("Run", "method", None, "IFoo", "A"),
+    ]
+    assert {r.signature for r in parsing.symbols(found).where("name in ('Load', 'Size', 'THelp', 'A')").collect()} == {"unit A;", "procedure Load;", "property Size;", "THelp = helper;"}
+    assert [r.name for r in found.where("file_id = 2 and kind = 'class'").collect()] == ["T"] and found.where("file_id = 3").count() == 1
 
 
 def test_blobs(spark):

@@ -1,10 +1,10 @@
 """Queries on source text: lines, headers, chunks, tokens, structure; with their SQL where SQL can say it."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from unitquarry.functions import text as T
 from unitquarry.operators import chunker, parsing
+from unitquarry.plans.source_sql import ORACLE  # noqa: F401
 from unitquarry.sources.tables import table
 
 
@@ -12,15 +12,18 @@ def _files(spark, d):
     return table(spark, d, "source_files")
 
 
+def _texts(spark, d):
+    """Files with their lines as an array, so that what is counted per file needs no exchange."""
+    return _files(spark, d).where("source_text is not null").select("file_id", T.lines(F.col("source_text")).alias("l"))
+
+
 def _lines(spark, d):
-    f = _files(spark, d).where("source_text is not null")
-    return f.select("file_id", F.posexplode(T.lines(F.col("source_text"))).alias("line", "text"))
+    return _texts(spark, d).select("file_id", F.posexplode("l").alias("line", "text"))
 
 
 def src_lines(spark, d):
-    f = _files(spark, d).where("source_text is not null").select("file_id", T.lines(F.col("source_text")).alias("l"))
     blank = F.size(F.filter("l", lambda x: T.trim_all(x) == ""))
-    return f.select("file_id", F.size("l").cast("bigint").alias("lines"), blank.cast("bigint").alias("blank"))
+    return _texts(spark, d).select("file_id", F.size("l").cast("bigint").alias("lines"), blank.cast("bigint").alias("blank"))
 
 
 def chunk_header(spark, d):
@@ -34,38 +37,47 @@ def unit_names(spark, d):
 
 def strip_line(spark, d):
     """Of each file, the characters that are left when strings and comments within lines are taken out, and the lines that change."""
-    plain = T.without_noise(F.col("text"))
-    return _lines(spark, d).select("file_id", F.length(plain).alias("n"), (plain != F.col("text")).alias("c")).groupBy("file_id").agg(F.sum("n").cast("bigint").alias("left"), F.count_if("c").alias("changed"))
+    total = F.aggregate("l", F.lit(0).cast("bigint"), lambda n, x: n + F.length(T.without_noise(x)))
+    return _texts(spark, d).select("file_id", total.alias("left"), F.size(F.filter("l", lambda x: T.without_noise(x) != x)).cast("bigint").alias("changed"))
 
 
 def kw_counts(spark, d):
-    plain = T.without_noise(F.col("text"))
-    count = lambda w: F.sum(F.size(F.regexp_extract_all(plain, F.lit(rf"(?i)\b{w}\b"), F.lit(0)))).cast("bigint")
-    return _lines(spark, d).groupBy("file_id").agg(count("begin").alias("begins"), count("end").alias("ends"))
+    plain = _texts(spark, d).select("file_id", F.array_join(F.transform("l", T.without_noise), "\n").alias("text"))
+    count = lambda w: F.size(F.regexp_extract_all("text", F.lit(rf"(?i)\b{w}\b"), F.lit(0))).cast("bigint")
+    return plain.select("file_id", count("begin").alias("begins"), count("end").alias("ends"))
 
 
 def section_track(spark, d):
     """Lines of each file by the section they are in, as the last section line before them says."""
-    word = F.lower(T.trim_all(F.col("text")))
-    mark = F.when(word.isin("interface", "implementation"), word)
-    line = Window.partitionBy("file_id").orderBy("line")
-    lines = _lines(spark, d).select("file_id", "line", mark.alias("mark"))
-    return lines.withColumn("section", F.coalesce(F.last("mark", True).over(line), F.lit("interface"))).groupBy("file_id", "section").agg(F.count(F.lit(1)).alias("lines"))
+    start = F.struct(F.lit("interface").alias("section"), F.lit(0).cast("bigint").alias("interface"), F.lit(0).cast("bigint").alias("implementation"))
+
+    def step(s, x):
+        word = F.lower(T.trim_all(x))
+        now = F.when(word.isin("interface", "implementation"), word).otherwise(s["section"])
+        one = lambda name: (s[name] + F.when(now == name, 1).otherwise(0)).alias(name)
+        return F.struct(now.alias("section"), one("interface"), one("implementation"))
+
+    per = _texts(spark, d).select("file_id", F.aggregate("l", start, step).alias("s"))
+    both = F.explode(F.array(*(F.struct(F.lit(x).alias("section"), F.col(f"s.{x}").alias("lines")) for x in ("interface", "implementation")))).alias("b")
+    return per.select("file_id", both).where("b.lines > 0").select("file_id", "b.section", "b.lines")
+
+
+def _headers(spark, d, header):
+    found = _lines(spark, d).select("file_id", F.col("line").cast("bigint").alias("line"), header(F.col("text")).alias("h")).where("h is not null")
+    return found.select("file_id", "line", "h.identifier", "h.kind")
 
 
 def type_headers(spark, d):
-    name, kind = (F.regexp_extract("text", T.TYPE_HEADER, i) for i in (1, 2))
-    return _lines(spark, d).where(name != "").select("file_id", F.col("line").cast("bigint").alias("line"), name.alias("identifier"), F.lower(kind).alias("kind"))
+    return _headers(spark, d, T.type_header)
 
 
 def routine_headers(spark, d):
-    kind, name = (F.regexp_extract("text", T.ROUTINE_HEADER, i) for i in (1, 2))
-    return _lines(spark, d).where(name != "").select("file_id", F.col("line").cast("bigint").alias("line"), name.alias("identifier"), F.lower(kind).alias("kind"))
+    return _headers(spark, d, T.routine_header)
 
 
 def visibility_parse(spark, d):
-    seen = T.visibility_of(F.col("text"))
-    return _lines(spark, d).select("file_id", seen.alias("visibility")).where("visibility is not null").groupBy("file_id", "visibility").agg(F.count(F.lit(1)).alias("lines"))
+    shown = F.explode(F.filter(F.transform("l", T.visibility_of), lambda x: x.isNotNull())).alias("visibility")
+    return _texts(spark, d).select("file_id", shown).groupBy("file_id", "visibility").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def str_trim(spark, d):
@@ -89,20 +101,25 @@ def index_resume(spark, d):
 
 
 def lex_kinds(spark, d):
-    t = parsing.tokens(_files(spark, d))
-    return t.groupBy("file_id", "kind").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    return parsing.token_kinds(_files(spark, d))
+
+
+def _marks(files):
+    return parsing.regions(parsing.directives(parsing.tokens(files, only=("directive",))))
 
 
 def directive_regions(spark, d):
-    return parsing.regions(parsing.directives(parsing.tokens(_files(spark, d), only=("directive",))))[0]
+    return _marks(_files(spark, d))[0]
 
 
 def directive_diagnostics(spark, d):
-    return parsing.regions(parsing.directives(parsing.tokens(_files(spark, d), only=("directive",))))[1]
+    """What is said of the files if a third of them ends with an end too many, and a third with a start."""
+    more = F.when(F.col("file_id") % 3 == 1, F.lit("\n{$ENDIF}")).when(F.col("file_id") % 3 == 2, F.lit("\n{$IFDEF OPEN}")).otherwise(F.lit(""))
+    return _marks(_files(spark, d).withColumn("source_text", F.concat("source_text", more)))[1]
 
 
 def unit_structure(spark, d):
-    return parsing.nodes(_files(spark, d))
+    return parsing.nodes(_files(spark, d)).drop("visibility")
 
 
 def unit_report(spark, d):
@@ -110,13 +127,26 @@ def unit_report(spark, d):
 
 
 def declaring_type(spark, d):
-    return parsing.declaring_types(parsing.nodes(_files(spark, d)))
+    """Of each member of a type the type that declares it, null for what no type declares."""
+    return parsing.declaring_types(parsing.nodes(_files(spark, d), deep=True))
 
 
 def symbol_signature(spark, d):
     return parsing.symbols(parsing.nodes(_files(spark, d)))
 
 
+def symbol_members(spark, d):
+    return parsing.symbols(parsing.nodes(_files(spark, d), deep=True))
+
+
+def parse_result(spark, d):
+    """What a parse gives of each file, as text: nodes with their parents, signatures, codes, whether something was cut."""
+    r = parsing.parse_results(_files(spark, d), most_nodes=12, most_symbols=3)
+    node = lambda n: F.concat_ws(" ", n["id"], F.coalesce(n["parent_id"], F.lit("-")), n["kind"], n["name"])
+    joined = lambda c, f, name: F.array_join(F.transform(c, f), "|").alias(name)
+    return r.select("file_id", "unit_name", joined("nodes", node, "nodes"), joined("symbols", lambda x: x["signature"], "symbols"), joined("diagnostics", lambda x: x["code"], "codes"), "nodes_truncated", "symbols_truncated")
+
+
 def uses_units(spark, d):
     return parsing.used_units(parsing.nodes(_files(spark, d)))
 
@@ -130,31 +160,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_lines, chunk_header, unit_names, strip_line, kw_counts, section_track, type_headers, routine_headers, visibility_parse, str_trim,
-        chunk_types, chunk_routines, index_resume, lex_kinds, directive_regions, directive_diagnostics, unit_structure, unit_report, declaring_type, symbol_signature, uses_units, normal_form,
+        chunk_types, chunk_routines, index_resume, lex_kinds, directive_regions, directive_diagnostics, unit_structure, unit_report, declaring_type, symbol_signature, symbol_members, parse_result, uses_units, normal_form,
     )
 }
-
-_TEXT = r"regexp_replace(regexp_replace(source_text, '^\x{FEFF}', ''), '\r\n?', chr(10), 'g')"
-_SPLIT = rf"CASE WHEN {_TEXT} = '' THEN [] ELSE string_split(regexp_replace({_TEXT}, '\n\z', ''), chr(10)) END"
-_L = f"a AS (SELECT file_id, {_SPLIT} AS l FROM source_files WHERE source_text IS NOT NULL), l AS (SELECT file_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS line FROM a)"
-_TRIM = r"regexp_replace({}, '^[\s\v\x{{85}}\pZ]+|[\s\v\x{{85}}\pZ]+$', '', 'g')"
-_UNIT = r"regexp_replace(regexp_extract(file_path, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1')"
-_PLAIN = r"regexp_replace(text, '''[^'']*(''|$)|\{[^}]*(\}|$)|//.*$', '', 'g')"
-_W = r"[\p{L}\p{N}_]"
-ORACLE = {
-    "src_lines": f"WITH {_L} SELECT file_id, len(l) AS lines, len(list_filter(l, lambda x: {_TRIM.format('x')} = '')) AS blank FROM a",
-    "chunk_header": f"WITH {_L} SELECT file_id, {_UNIT} AS unit_name, array_to_string(l[1:30], chr(10)) AS content FROM a JOIN source_files USING (file_id)",
-    "unit_names": f"SELECT file_id, {_UNIT} AS unit_name FROM source_files",
-    "strip_line": f"WITH {_L} SELECT file_id, sum(length({_PLAIN}))::BIGINT AS left, count(*) FILTER ({_PLAIN} <> text) AS changed FROM l GROUP BY file_id",
-    "kw_counts": rf"WITH {_L} SELECT file_id, sum(len(regexp_extract_all({_PLAIN}, '(?i)\bbegin\b')))::BIGINT AS begins, sum(len(regexp_extract_all({_PLAIN}, '(?i)\bend\b')))::BIGINT AS ends FROM l GROUP BY file_id",
-    "section_track": f"""WITH {_L}, m AS (SELECT file_id, line, lower({_TRIM.format('text')}) AS w FROM l),
-s AS (SELECT file_id, coalesce(last_value(CASE WHEN w IN ('interface', 'implementation') THEN w END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line), 'interface') AS section FROM m)
-SELECT file_id, section, count(*) AS lines FROM s GROUP BY ALL""",
-    "type_headers": rf"""WITH {_L}, h AS (SELECT file_id, line, regexp_extract(text, '(?i)^\s{{0,4}}({_W}+)(?:\s*<[^>]+>)?\s*=\s*(?:packed\s+)?(class|record|interface|dispinterface|object)(?:[^\p{{L}}\p{{N}}_]|$)', ['n', 'k']) AS m FROM l)
-SELECT file_id, line, m.n AS identifier, lower(m.k) AS kind FROM h WHERE m.n <> ''""",
-    "routine_headers": rf"""WITH {_L}, h AS (SELECT file_id, line, regexp_extract(text, '(?i)^\s{{0,4}}(procedure|function|constructor|destructor)\s+([\p{{L}}\p{{N}}_.]+)', ['k', 'n']) AS m FROM l)
-SELECT file_id, line, m.n AS identifier, lower(m.k) AS kind FROM h WHERE m.n <> ''""",
-    "visibility_parse": rf"""WITH {_L}, v AS (SELECT file_id, regexp_extract({_PLAIN}, '(?i)^\s*(published|public|protected|private|strict\s+protected|strict\s+private)\s*$', 1) AS w FROM l)
-SELECT file_id, regexp_replace(lower(w), '^strict\s+', '') AS visibility, count(*) AS lines FROM v WHERE w <> '' GROUP BY ALL""",
-    "str_trim": f"SELECT file_id, length({_TRIM.format('source_text')}) AS size FROM source_files WHERE source_text IS NOT NULL",
-}
