@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from unitquarry.session import stored
+
 LIMIT, OVERLAP = 5000, 200
-#: Bytes of a range, bytes of its halo, and ranges of a stretch.  A stretch begins with a cut, so that stretches don't wait for each other; it costs one short piece per 4 MB.
+#: Bytes of a range, bytes of its halo, and ranges of a stretch.  A stretch begins with a cut at the best place of its first range, so that stretches don't wait for each other; it costs one short piece per 4 MB.
 RANGE, HALO, STRETCH = 65536, 512, 64
+#: Keys that the pieces of one text are spread over.
+SALTS = 32
 #: How well a text can be cut at a place: between two characters, behind a word, before a line inside a comment, before any line of code, behind a block's end or at a blank line, before a declaration.
 HARD, IN_LINE, IN_COMMENT, LINE, PARAGRAPH, DECLARATION = range(6)
 
@@ -190,46 +194,48 @@ def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["item", "range_no"]].assign(state=states, at=u - pdf["units"], line_at=n - pdf["lines"], total=u.iloc[-1] if len(u) else 0)
 
 
+def _anchor(row) -> int:
+    """Where the stretch begins whose first range ``row`` is: at its line of the best class, the first of those; at its start if no line begins in it."""
+    lines = [(-c, o) for o, c, b in zip(row.offsets, row.classes, row.is_line) if b]
+    return int(min(lines)[1]) if lines else int(row.at)
+
+
+def _cuts(pdf: pd.DataFrame, limit: int, overlap: int, per: int) -> pd.DataFrame:
+    """The pieces of one stretch of ``per`` ranges, from the boundaries of its ranges, of the range before it and of the one behind it."""
+    rows = list(pdf.sort_values("range_no", ignore_index=True).itertuples())
+    stretch = rows[0].stretch
+    own = [r for r in rows if r.range_no >= stretch * per]
+    lines = np.array(sorted({int(o) for r in rows for o, b in zip(r.offsets, r.is_line) if b}), np.int64)
+    begin = start = _anchor(own[0]) if stretch else 0
+    stop = _anchor(own[-1]) if own[-1].range_no >= (stretch + 1) * per else int(own[0].total)
+    if start:
+        k = np.searchsorted(lines, start - overlap)
+        whole = k < len(lines) and lines[k] < start and start in lines
+        begin = int(lines[k]) if whole else max(0, start - overlap)
+    bounds = [(int(o), int(c), int(b)) for r in own for o, c, b in zip(r.offsets, r.classes, r.is_line) if start < o < stop]
+    pieces = choose_cuts(bounds, begin, start, stop, limit, overlap, lines)
+    first = int(rows[0].line_at)
+    return pd.DataFrame([(rows[0].item, s, e, first + int(np.searchsorted(lines, s, "right")) - 1) for s, e in pieces], columns=["item", "s", "e", "line_no"])
+
+
 def split_ranges(ranges: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``item, piece_no, line_no, text``: the pieces of texts given as ranges.  ``line_no`` counts from 0."""
+    """``item, piece_no, pieces, line_no, text``: the pieces of texts given as ranges.  ``line_no`` counts from 0.
+
+    Plan: the boundaries of the ranges are written as a table.  Only a few numbers per range are put together by item; what is
+    worked on at once are a stretch's boundaries, and the text of a range."""
     kind = ranges.schema["item"].dataType.simpleString()
-    scanned = ranges.mapInPandas(_scan, f"item {kind}, range_no int, units bigint, lines bigint, after array<int>, offsets array<bigint>, is_line array<boolean>, classes array<array<int>>, skip int")
+    scanned = stored(ranges.mapInPandas(_scan, f"item {kind}, range_no int, units bigint, lines bigint, after array<int>, offsets array<bigint>, is_line array<boolean>, classes array<array<int>>, skip int"))
     placed = spread(scanned.select("item", "range_no", "units", "lines", "after"), "item").groupBy("item").applyInPandas(_stitch, f"item {kind}, range_no int, state int, at bigint, line_at bigint, total bigint")
+    per = STRETCH
+    # The ranges at the borders of a stretch are its neighbours' as well.
+    own = F.floor(F.col("range_no") / per).cast("int")
+    stretches = F.array(own, F.when((F.col("range_no") % per == 0) & (F.col("range_no") > 0), own - 1), F.when((F.col("range_no") % per == per - 1) & (F.col("at") + F.col("units") < F.col("total")), own + 1))
     table = scanned.join(placed, ["item", "range_no"]).select(
-        "item", "range_no", "at", "line_at", "total", "units", F.transform("offsets", lambda o: o + F.col("at")).alias("offsets"), "is_line", F.element_at("classes", F.col("state") + 1).alias("classes")
+        "item", "range_no", "at", "line_at", "total", F.transform("offsets", lambda o: o + F.col("at")).alias("offsets"), "is_line", F.element_at("classes", F.col("state") + 1).alias("classes"), F.explode(F.array_compact(stretches)).alias("stretch")
     )
-    line = Window.partitionBy("item").orderBy("range_no")
-    first = F.coalesce(F.try_element_at(F.filter(F.arrays_zip("offsets", "is_line"), lambda b: b["is_line"]), F.lit(1))["offsets"], F.col("at"))
-    # The lines that end the range before serve as overlap for the first piece of a stretch.
-    near = F.filter(F.arrays_zip("offsets", "is_line"), lambda b: b["is_line"] & (b["offsets"] >= F.col("at") + F.col("units") - F.lit(overlap + HALO)))
-    table = table.withColumns({"stretch": F.floor(F.col("range_no") / STRETCH).cast("int"), "_first": first, "_near": F.transform(near, lambda b: b["offsets"])})
-    table = table.withColumns({"_before": F.lag("_near").over(line), "_next": F.lead("_first").over(line)})
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("range_no", ignore_index=True)
-        bounds = [(int(o), int(c), int(b)) for x in pdf.itertuples() for o, c, b in zip(x.offsets, x.classes, x.is_line)]
-        own = [b[0] for b in bounds if b[2]]
-        before = [] if pdf["_before"][0] is None else [int(x) for x in pdf["_before"][0]]
-        lines = np.array(sorted({*before, *own}), np.int64)
-        anchor = int(pdf["_first"][0]) if pdf["range_no"][0] else 0
-        stop = int(pdf["_next"].iloc[-1]) if pd.notna(pdf["_next"].iloc[-1]) else int(pdf["total"][0])
-        begin = anchor
-        if anchor:
-            k = np.searchsorted(lines, anchor - overlap)
-            begin = int(lines[k]) if k < len(lines) and lines[k] < anchor and anchor in own else max(0, anchor - overlap)
-        pieces = choose_cuts([b for b in bounds if b[0] > anchor], begin, anchor, stop, limit, overlap, lines)
-        base, own_lines = int(pdf["line_at"][0]), np.array(own, np.int64)
-        back = len(lines) - len(own)
-        rows = []
-        for s, e in pieces:
-            number = base + int(np.searchsorted(own_lines, s, "right")) - 1
-            if back and s < int(pdf["at"][0]):
-                number = base - back + int(np.searchsorted(lines, s, "right")) - 1
-            rows.append((pdf["item"][0], s, e, number))
-        return pd.DataFrame(rows, columns=["item", "s", "e", "line_no"])
-
-    pieces = spread(table, "item", "stretch").groupBy("item", "stretch").applyInPandas(cut, f"item {kind}, s bigint, e bigint, line_no bigint")
-    pieces = pieces.withColumn("piece_no", F.row_number().over(Window.partitionBy("item").orderBy("s")))
+    pieces = spread(table, "item", "stretch").groupBy("item", "stretch").applyInPandas(lambda pdf: _cuts(pdf, limit, overlap, per), f"item {kind}, s bigint, e bigint, line_no bigint")
+    of = Window.partitionBy("item")
+    pieces = pieces.withColumn("piece_no", F.row_number().over(of.orderBy("s"))).withColumn("pieces", F.count(F.lit(1)).over(of))
     # A piece lies in few ranges; it is matched to them by the blocks of units it may touch, an equi-join.
     width = RANGE // 2
     blocks = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
@@ -239,7 +245,7 @@ def split_ranges(ranges: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLA
         wanted.join(spans, ["item", "_block"])
         .where((F.col("s") < F.col("at") + F.col("units")) & (F.col("e") > F.col("at")))
         .groupBy("item", "range_no", "skip")
-        .agg(F.collect_set(F.struct("piece_no", "line_no", F.greatest(F.lit(0), F.col("s") - F.col("at")).alias("lo"), (F.least(F.col("e"), F.col("at") + F.col("units")) - F.col("at")).alias("hi"), (F.col("s") >= F.col("at")).alias("begins"))).alias("cuts"))
+        .agg(F.collect_set(F.struct("piece_no", "pieces", "line_no", F.greatest(F.lit(0), F.col("s") - F.col("at")).alias("lo"), (F.least(F.col("e"), F.col("at") + F.col("units")) - F.col("at")).alias("hi"), (F.col("s") >= F.col("at")).alias("begins"))).alias("cuts"))
     )
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,12 +257,12 @@ def split_ranges(ranges: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLA
                     part = text[2 * c["lo"] : 2 * c["hi"]]
                     if c["begins"] and len(part) > 1 and 0xDC <= part[1] <= 0xDF:
                         part = part[2:]  # the second half of a pair whose first half lies before the overlap
-                    rows.append((x.item, c["piece_no"], c["line_no"], x.range_no, part))
-            yield pd.DataFrame(rows, columns=["item", "piece_no", "line_no", "range_no", "part"])
+                    rows.append((x.item, c["piece_no"], c["pieces"], c["line_no"], x.range_no, part))
+            yield pd.DataFrame(rows, columns=["item", "piece_no", "pieces", "line_no", "range_no", "part"])
 
-    cut_out = ranges.select("item", "range_no", "head", "data").join(parts, ["item", "range_no"]).mapInPandas(emit, f"item {kind}, piece_no int, line_no bigint, range_no int, part binary")
-    whole = cut_out.groupBy("item", "piece_no", "line_no").agg(F.array_sort(F.collect_list(F.struct("range_no", "part"))).alias("_p"))
-    return whole.select("item", "piece_no", "line_no", F.decode(F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p["part"])), "UTF-16LE").alias("text"))
+    cut_out = ranges.select("item", "range_no", "head", "data").join(parts, ["item", "range_no"]).mapInPandas(emit, f"item {kind}, piece_no int, pieces bigint, line_no bigint, range_no int, part binary")
+    whole = cut_out.groupBy("item", "piece_no", "pieces", "line_no").agg(F.array_sort(F.collect_list(F.struct("range_no", "part"))).alias("_p"))
+    return whole.select("item", "piece_no", "pieces", "line_no", F.decode(F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p["part"])), "UTF-16LE").alias("text"))
 
 
 def split_oversized(rows: DataFrame, *, key: str = "id", text: str = "content", start_line: str = "start_line", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -276,7 +282,9 @@ def split_oversized(rows: DataFrame, *, key: str = "id", text: str = "content",
     large = base.where(big).withColumn("item", F.concat_ws("/", F.hex(F.xxhash64("_k", "_l")), F.sha2("_t", 256)))
     large = large.groupBy("item", "_k", "_l").agg(F.any_value("_t").alias("_t"), F.count(F.lit(1)).alias("_copies"))
     cut = split_ranges(text_ranges(large, "item", "_t"), limit=limit, overlap=overlap)
-    named = large.select("item", "_k", "_l", "_copies").join(cut, "item").withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy("item")))
+    # The pieces of one text are many and long, so that they meet their row under SALTS keys.
+    rows_of = large.select("item", "_k", "_l", "_copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    named = cut.withColumn("_s", F.col("piece_no") % SALTS).join(rows_of, ["item", "_s"])
     pieces = named.select("_k", "piece_no", "pieces", (F.col("_l") + F.col("line_no")).alias("_l"), "text", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")).alias("_copy")).drop("_copy")
     return small.unionAll(pieces).toDF(key, "piece_no", "pieces", start_line, text)
 
