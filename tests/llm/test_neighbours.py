@@ -26,6 +26,9 @@ def test_recall_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(N, "CELL", 150)
     found, want = pairs(N.nearest(df)), exact(np.arange(3000), x.astype(np.float32))
     assert len(found & want) / len(want) > 0.95
+    monkeypatch.setattr(N, "BLOCK", 60)
+    monkeypatch.setattr(N, "VISITORS", 90)
+    assert len(pairs(N.nearest(df)) & want) / len(want) > 0.95
 
 
 def test_unusable_copies_and_few_rows(spark):

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIM, K = 64, 5
-#: Rows of the sample that the index is fitted on, at most; wanted members of a cell; of a block of a cell, at most (as the sample foresees it).
-SAMPLE, CELL, BLOCK = 32768, 6000, 16000
+#: Rows of the sample that the index is fitted on, at most; wanted members of a cell; members and visitors that meet in one task, at most (as the sample foresees them).
+SAMPLE, CELL, BLOCK, VISITORS = 32768, 6000, 16000, 32768
+#: Keys that the copies of one vector are spread over.
+SALTS = 8
 #: Codebooks, codewords of each, width of the beam, candidates reranked for a query and cell.
 BOOKS, WORDS, BEAM, RERANK = 6, 256, 4, 32
 #: A query visits the cells whose centre is at most this much less similar to it than the nearest centre.
@@ -44,7 +46,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, sphere
 
 
 class Index:
-    """Centres, codebooks and blocks of the cells; its size doesn't grow with the rows beyond the sample's."""
+    """Centres, codebooks, and the blocks of members and of visitors of the cells; its size doesn't grow with the rows beyond the sample's."""
 
     def __init__(self, sample: np.ndarray, rows: int):
         rng = np.random.default_rng(7)
@@ -54,6 +56,8 @@ class Index:
         home = (x @ self.centres.T).argmax(1)
         share = np.bincount(home, minlength=len(self.centres)) / len(x)
         self.blocks = np.maximum(1, np.ceil(share * rows / BLOCK)).astype(np.int64)
+        came = np.bincount(self.visits(x)[2], minlength=len(self.centres)) / len(x)
+        self.visitors = np.maximum(1, np.ceil(came * rows / VISITORS)).astype(np.int64)
         rest, self.books = x - self.centres[home], []
         for _ in range(BOOKS):
             book = _kmeans(rest, WORDS, 8, rng, False)
@@ -124,7 +128,16 @@ def _best(source: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> n
     return order[rank < k]
 
 
-def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim: int = DIM, k: int = K) -> DataFrame:
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _repeated(counts: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    return [np.repeat(c, counts) for c in columns]
+
+
+def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim: int = DIM, k: int = K, sample_rows: int = SAMPLE) -> DataFrame:
     """``key, other, cosine``: for every usable vector ``k`` others of the highest cosine, found approximately.
 
     Vectors that are null, not of ``dim`` numbers, all zero, or with a null or non-finite number take no part.
@@ -135,7 +148,8 @@ def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim:
 
     Plan: copies collapse in a map-side aggregate; each class is sent once to its home cell, with its code, and
     once to each cell whose centre is nearly as near.  A pair that meets in any cell counts for both its ends, so
-    a neighbour is missed only if neither end visits the other's cell.  Blocks of a cell are bounded."""
+    a neighbour is missed only if neither end visits the other's cell.  Members and visitors of a cell meet block by block, so
+    that tasks are bounded.  There are at most ``sample_rows`` / 8 cells: more rows than that many times CELL want a larger sample."""
     spark = rows.sparkSession
     usable = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where(
         F.col("id").isNotNull() & (F.size("vec") == dim) & F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -151,9 +165,9 @@ def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim:
     schema = f"{key} bigint, other bigint, cosine float"
     if not total:
         return spark.createDataFrame([], schema)
-    sample = usable.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.2 * SAMPLE / total) * (1 << 20)) + 1)).orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(SAMPLE).select("vec").toArrow()
+    sample = usable.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.2 * sample_rows / total) * (1 << 20)) + 1)).orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(sample_rows).select("vec").toArrow()
     if not len(sample):
-        sample = usable.limit(SAMPLE).select("vec").toArrow()
+        sample = usable.limit(sample_rows).select("vec").toArrow()
     shared = spark.sparkContext.broadcast(Index(_matrix(sample.column(0).combine_chunks()), total))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,39 +180,48 @@ def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim:
                 x, ids = _unit(_matrix(batch.column(1))), batch.column(0).to_numpy()
                 home, row, cell = index.visits(x)
                 codes, norms = index.encode(x, home)
-                home_block = ids % index.blocks[home]
-                reps = index.blocks[cell]
-                row, cell = np.repeat(row, reps), np.repeat(cell, reps)
-                block = np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps)
-                member = (cell == home[row]) & (block == home_block[row])
+                # A visitor is in one block of visitors, which meets each block of members; a member meets each block of
+                # visitors.  Where a vector meets itself so, one row stands for both.
+                own_block, own_visit = ids % index.blocks[home], (ids >> 3)
+                v_row, v_cell = _repeated(index.blocks[cell], row, cell)
+                v_block, v_visit = _within(index.blocks[cell]), own_visit[v_row] % index.visitors[v_cell]
+                both = (v_cell == home[v_row]) & (v_block == own_block[v_row])
+                (m_row,), m_visit = _repeated(index.visitors[home], np.arange(len(x))), _within(index.visitors[home])
+                other = m_visit != own_visit[m_row] % index.visitors[home[m_row]]
+                m_row, m_visit = m_row[other], m_visit[other]
+                row, cell = np.concatenate([v_row, m_row]), np.concatenate([v_cell, home[m_row]])
+                block = np.concatenate([v_block * 4096 + v_visit, own_block[m_row] * 4096 + m_visit])
+                visit = np.arange(len(row)) < len(v_row)
+                member = np.concatenate([both, np.ones(len(m_row), bool)])
                 code = np.concatenate([codes, norms.astype("<f4").view(np.uint8).reshape(-1, 4)], 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cell * 65536 + block),
+                        pa.array(cell * (1 << 28) + block),
                         pa.array(ids[row]),
                         pa.array([v.tobytes() for v in x[row]], pa.binary()),
                         pa.array([code[r].tobytes() if m else None for r, m in zip(row, member)], pa.binary()),
                         batch.column(2).take(pa.array(row)),
+                        pa.array(visit),
                     ],
-                    ["cell", "id", "vec", "code", "own"],
+                    ["cell", "id", "vec", "code", "own", "visit"],
                 )
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         index = shared.value
         ids, own = pdf["id"].to_numpy(), pdf["own"].to_numpy()
         x = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(len(pdf), -1)
-        members = np.flatnonzero(pdf["code"].notna())
-        if not len(members):
+        members, visitors = np.flatnonzero(pdf["code"].notna()), np.flatnonzero(pdf["visit"])
+        if not len(members) or not len(visitors):
             return pd.DataFrame(columns=["id", "own", "other", "others", "cosine"])
         raw = np.frombuffer(b"".join(pdf["code"].iloc[members]), np.uint8).reshape(len(members), -1)
-        q, m, score = _search(index, ids[members], x[members], raw[:, :-4], raw[:, -4:].copy().view("<f4")[:, 0], ids, x)
-        m = members[m]
+        q, m, score = _search(index, ids[members], x[members], raw[:, :-4], raw[:, -4:].copy().view("<f4")[:, 0], ids[visitors], x[visitors])
+        q, m = visitors[q], members[m]
         a, b, s = np.concatenate([q, m]), np.concatenate([m, q]), np.concatenate([score, score])
         keep = _best(ids[a], ids[b], s, k)
         a, b = a[keep], b[keep]
         return pd.DataFrame({"id": ids[a], "own": own[a], "other": ids[b], "others": own[b], "cosine": s[keep]})
 
-    placed = kinds.mapInArrow(place, "cell bigint, id bigint, vec binary, code binary, own array<bigint>")
+    placed = kinds.mapInArrow(place, "cell bigint, id bigint, vec binary, code binary, own array<bigint>, visit boolean")
     found = placed.groupBy("cell").applyInPandas(search, "id bigint, own array<bigint>, other bigint, others array<bigint>, cosine float")
     found = found.repartition("id").dropDuplicates(["id", "other"])
     order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
@@ -210,7 +233,8 @@ def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim:
     places = F.lit(k + 1) - F.coalesce(F.size("own"), F.lit(1))
     each = each.withColumn("_p", F.row_number().over(Window.partitionBy("id").orderBy("_r", "other"))).where(F.col("_p") <= F.when(F.col("own").isNull(), F.lit(k)).otherwise(places))
     others = each.select(F.explode(F.coalesce("own", F.array("id"))).alias("id"), "other", "cosine")
-    within = hashed.select("h", "g", "id").join(several, ["h", "g"]).select("id", F.explode(F.slice(F.array_remove("own", F.col("id")), 1, k)).alias("other"), F.lit(1.0).cast("float").alias("cosine"))
+    salted = several.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    within = hashed.select("h", "g", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_s")).join(salted, ["h", "g", "_s"]).select("id", F.explode(F.slice(F.array_remove("own", F.col("id")), 1, k)).alias("other"), F.lit(1.0).cast("float").alias("cosine"))
     return single.unionAll(others).unionAll(within).toDF(key, "other", "cosine")
 
 
