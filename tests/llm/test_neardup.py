@@ -40,12 +40,12 @@ def corpus(seed, n=140):
     return rows
 
 
-@pytest.mark.parametrize("boundary", [0, 40, 10_000, None])
-def test_all_pairs_whatever_the_boundary(spark, boundary):
+@pytest.mark.parametrize(("boundary", "short"), [(0, 32), (40, 3), (40, 0), (10_000, 0), (10_000, 5), (None, 32)])
+def test_all_pairs_whatever_the_boundary(spark, boundary, short):
     rows = corpus(5)
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
     want = brute(rows)
-    assert len(want) > 100 and expanded(*N.near_duplicates(df, boundary=boundary)) == want
+    assert len(want) > 100 and expanded(*N.near_duplicates(df, boundary=boundary, short=short, part=5)) == want
 
 
 def test_odd_rows(spark):
@@ -58,7 +58,21 @@ def test_odd_rows(spark):
 
 
 def test_the_boundary_follows_the_cost():
-    few, many = (pd.DataFrame({"size": [30, 100], "sets": [1000, 1000], "links": [n, n]}) for n in (2_000, 10_000_000))
-    assert N.choose_boundary(few, 0.7, 2) == 0 and N.choose_boundary(many, 0.7, 2) == 100
-    mixed = pd.DataFrame({"size": [30, 100], "sets": [1000, 1000], "links": [5_000_000, 2_000]})
-    assert N.choose_boundary(mixed, 0.7, 2) == 30
+    def of(*rows):
+        return pd.DataFrame(rows, columns=["size", "large_rows", "large_links", "small_rows", "small_links"])
+
+    assert N.choose_boundary(of((30, 10, 20, 10, 20), (100, 30, 60, 30, 60))) == 100  # short lists only: no pairs are sent
+    assert N.choose_boundary(of((30, 10, 9000, 40, 20), (100, 30, 900, 400, 60))) == 30  # the many pairs of large sets cost more than their lists
+    assert N.choose_boundary(of((30, 10, 90, 40, 20), (100, 30, 900, 400, 60))) == 0
+    assert N.choose_boundary(of()) == 0
+
+
+def test_both_halves_give_pairs(spark):
+    """Texts of few words that all have in common, small and large: long lists, of which pairs of runs are sent for the small ones."""
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(common) for _ in range(n))) for i, n in enumerate([40] * 60 + [400] * 12)]
+    rows += [(100 + i, t + " w1 w2") for i, t in rows[::6]]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
+    want = brute(rows)
+    assert {a < 60 for a, _ in want} == {True, False} and expanded(*N.near_duplicates(df, boundary=60, short=4, part=7)) == want

@@ -1,15 +1,14 @@
 """Near-duplicate texts: all pairs whose word runs overlap enough, by a size-aware heavy-light join.
 
 A text is the set of its distinct runs of successive words.  Equal sets are one class.  Of a class, the rarest runs
-form a prefix that any similar class must share.  Small sets are matched by fixed-size subsets of their prefixes, which
-few unrelated sets share; large sets, of which the subsets would be too many, scan the inverted lists of single
-runs.  Where small ends is chosen by the cost of both ways, counted over the whole table."""
+form a prefix that any similar class must share.  Small sets are matched by subsets of their prefixes: pairs of runs, and
+where a run is so rare that its list is short, that run alone.  Large sets, of which the pairs would be too many, scan the
+inverted lists of single runs, long lists in parts.  Where small ends is chosen by the cost of both ways, counted over the whole table."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -19,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitquarry.session import cut
+from unitquarry.session import stored
 
-#: Successive words of a run, similarity, least words of a text that takes part, runs of a subset.
-RUN, SIMILARITY, WORDS, SUBSET = 3, 0.7, 30, 2
+#: Successive words of a run, similarity, least words of a text that takes part.
+RUN, SIMILARITY, WORDS = 3, 0.7, 30
+#: A list up to this length is short: a small set sends its run alone.  Sets of a long list that are looked at in one task by one large set, about.
+SHORT, PART = 32, 4096
 #: Counters of the order by rarity (a fixed table of 2 MB) and sizes that the cost model tells apart.
 COUNTERS, SIZES = 1 << 18, 4096
 
@@ -80,9 +81,9 @@ def classes_of(rows: DataFrame, *, key: str, text: str, run: int, least: int) ->
     usable = rows.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") >= 2 * least - 1))
     read_sets = usable.mapInArrow(read, "id bigint, h binary, runs array<bigint>")
     # Reading the words twice costs less than keeping the sets of all copies.
-    kinds = cut(read_sets.groupBy("h").agg(F.min("id").alias("class"), F.any_value("runs").alias("runs")))
+    kinds = stored(read_sets.groupBy("h").agg(F.min("id").alias("class"), F.any_value("runs").alias("runs")))
     members = read_sets.select("id", "h").distinct().join(kinds.select("h", "class"), "h").select("class", "id")
-    return kinds.select("class", "runs"), members
+    return kinds.select("class", "runs"), stored(members)
 
 
 def _prefix(n: np.ndarray | int, similarity: float):
@@ -93,29 +94,28 @@ def _prefix(n: np.ndarray | int, similarity: float):
 PAIRS_PER_ROW = 16
 
 
-def choose_boundary(by_size: pd.DataFrame, similarity: float, subset: int) -> int:
-    """The largest size of a small set: the boundary of the least cost, in rows sent; 0 if scanning is cheapest for all.
+def choose_boundary(by_size: pd.DataFrame) -> int:
+    """The largest size of a small set: the boundary of the least cost, in rows sent; the larger one where costs are equal,
+    as small sets meet no long list; 0 if scanning is cheapest for all.
 
-    ``by_size``: size, sets, and links (the lengths of the inverted lists of these sets' prefixes, summed).  A small
-    set sends each subset of its prefix; a large one sends its prefix and looks at a pair for each link."""
+    ``by_size``: size; what these sets send as large ones and the links they look at then (the lengths of their lists,
+    summed); what they send as small ones (runs alone and pairs of runs) and the links of their short lists."""
     if by_size.empty:
         return 0
     t = by_size.sort_values("size")
-    n, sets, links = (t[c].to_numpy(np.float64) for c in ("size", "sets", "links"))
-    p = _prefix(n, similarity).astype(np.float64)
-    rows = np.ones(len(p))
-    for i in range(subset):
-        rows *= (p + subset - 1 - i) / (i + 1)
-    heavy = sets * p + links / PAIRS_PER_ROW
-    cost = np.concatenate([[0.0], np.cumsum(sets * rows)]) + np.concatenate([np.cumsum(heavy[::-1])[::-1], [0.0]])
-    best = int(cost.argmin())
+    large, small = ((t[f"{c}_rows"] + t[f"{c}_links"] / PAIRS_PER_ROW).to_numpy(np.float64) for c in ("large", "small"))
+    cost = np.concatenate([[0.0], np.cumsum(small)]) + np.concatenate([np.cumsum(large[::-1])[::-1], [0.0]])
+    best = len(cost) - 1 - int(cost[::-1].argmin())
     return 0 if best == 0 else int(t["size"].iloc[best - 1])
 
 
-def similar_classes(sets: DataFrame, *, similarity: float = SIMILARITY, subset: int = SUBSET, boundary: int | None = None) -> DataFrame:
+def similar_classes(sets: DataFrame, *, similarity: float = SIMILARITY, boundary: int | None = None, short: int = SHORT, part: int = PART) -> DataFrame:
     """``class_a, class_b``: all pairs of classes whose sets' Jaccard similarity is at least ``similarity``.
 
-    ``boundary``: the largest size of a small set; chosen by cost where it isn't given."""
+    ``boundary``: the largest size of a small set; chosen by cost where it isn't given.
+
+    Two similar sets share a run of their prefixes, and two of the prefixes with one run more.  The first run that they share is
+    sent alone by both if its list is short, else with each run behind it."""
     spark = sets.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,101 +125,116 @@ def similar_classes(sets: DataFrame, *, similarity: float = SIMILARITY, subset:
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["counter", "n"])
 
-    counted = sets.select("runs").mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    rarity = np.zeros(COUNTERS, np.int64)
-    rarity[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(rarity)
+    def table(of) -> np.ndarray:
+        got = sets.select("runs").mapInArrow(of, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+        out = np.zeros(COUNTERS, np.int64)
+        out[got["counter"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+        return out
+
+    shared = spark.sparkContext.broadcast(table(count))
 
-    def ordered(runs: np.ndarray) -> np.ndarray:
-        """The runs by rarity, each run's counter standing for it; any fixed order is right, the rare ones first are quick."""
-        return runs[np.lexsort((runs, shared.value[runs & (COUNTERS - 1)]))]
+    def prefixes(column: pa.Array, more: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes of the sets of a batch; owner, place and run of their prefixes, with ``more`` runs behind them).
 
-    def prefixes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sizes, owner, counter) of the prefix runs of a batch of sets."""
+        Runs are in the order of their rarity, each run's counter standing for it; any fixed order is right, the rare ones first are quick."""
         flat, offs = column.flatten().to_numpy(), column.offsets.to_numpy()
         size = np.diff(offs)
-        owner, counter = np.repeat(np.arange(len(size)), size), flat & (COUNTERS - 1)
-        order = np.lexsort((flat, shared.value[counter], owner))
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((flat, shared.value[flat & (COUNTERS - 1)], owner))
         at = np.arange(len(flat)) - np.repeat(offs[:-1] - offs[0], size)
-        keep = at < np.repeat(_prefix(size, similarity), size)
-        return size, owner[keep], counter[order][keep]
+        keep = at < np.repeat(_prefix(size, similarity) + more, size)
+        return size, owner[keep], at[keep], flat[order][keep]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            seen += np.bincount(prefixes(batch.column(0))[2], minlength=COUNTERS)
+            seen += np.bincount(prefixes(batch.column(0))[3] & (COUNTERS - 1), minlength=COUNTERS)
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["counter", "n"])
 
+    posted = spark.sparkContext.broadcast(table(post))
+    least = next(n for n in range(1, 1000) if ceil(similarity * n - 1e-9) >= 2)  # smaller sets can't share two runs
+    parts = ("large_rows", "large_links", "small_rows", "small_links")
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, links = np.zeros(SIZES + 1, np.int64), np.zeros(SIZES + 1, np.int64)
+        sums = np.zeros((len(parts), SIZES + 1))
         for batch in batches:
-            size, owner, counter = prefixes(batch.column(0))
-            own = np.bincount(owner, posted.value[counter], len(size))
-            at = np.minimum(size, SIZES)
-            n += np.bincount(at, minlength=SIZES + 1)
-            links += np.bincount(at, own, SIZES + 1).astype(np.int64)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(links[used])], ["size", "sets", "links"])
+            size, owner, at, run = prefixes(batch.column(0))
+            links = posted.value[run & (COUNTERS - 1)]
+            behind = (_prefix(size, similarity)[owner] - at).astype(np.float64)
+            for out, what in zip(sums, (np.ones(len(run)), links, np.where(links > short, behind, 1), np.where(links > short, 0, links))):
+                out += np.bincount(np.minimum(size[owner], SIZES), what, SIZES + 1)
+        used = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in sums)], ["size", *parts])
 
     if boundary is None:
-        lengths = sets.select("runs").mapInArrow(post, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-        listed = np.zeros(COUNTERS, np.int64)
-        listed[lengths["counter"].to_numpy(np.int64)] = lengths["n"].to_numpy(np.int64)
-        posted = spark.sparkContext.broadcast(listed)
-        boundary = choose_boundary(sets.select("runs").mapInArrow(weigh, "size bigint, sets bigint, links bigint").groupBy("size").agg(F.sum("sets").alias("sets"), F.sum("links").alias("links")).toPandas(), similarity, subset)
-    last = boundary
-    first = next(n for n in range(1, 1000) if ceil(similarity * n - 1e-9) >= subset)  # smaller sets can't share a whole subset
-
-    def keys(light: bool):
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for start in range(0, len(whole), 500):
-                    batch = whole.slice(start, 500)
-                    flat, offs, name = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(0).to_numpy()
-                    offs = offs - offs[0]
-                    out: list[tuple[np.ndarray, ...]] = []
-                    for i in range(len(batch)):
-                        runs = flat[offs[i] : offs[i + 1]]
-                        n = len(runs)
-                        p = int(_prefix(np.int64(n), similarity))
-                        if light:
-                            if not first <= n <= last:
-                                continue
-                            front = ordered(runs)[: p + subset - 1].view(np.uint64)
-                            pick = np.array(np.triu_indices(len(front), 1)) if subset == 2 else np.array([*combinations(range(len(front)), subset)], np.int64).reshape(-1, subset).T
-                            key = np.zeros(pick.shape[1], np.uint64)
-                            for k in range(subset):
-                                key = (key ^ front[pick[k]]) * np.uint64(0x9E3779B97F4A7C15)
-                                key ^= key >> np.uint64(31)
-                            out.append((key.view(np.int64), np.full(len(key), name[i]), np.full(len(key), n), pick[0], np.zeros(len(key), bool)))
-                        else:
-                            front = ordered(runs)[:p]
-                            out.append((front, np.full(p, name[i]), np.full(p, n), np.arange(p), np.full(p, not first <= n <= last)))
-                    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4], pa.bool_())], ["k", "class", "size", "pos", "large"])
-
-        return sets.select("class", "runs").mapInArrow(emit, "k bigint, class bigint, size int, pos int, large boolean")
-
-    def meet(left: DataFrame, right: DataFrame, which) -> DataFrame:
+        weighed = sets.select("runs").mapInArrow(weigh, "size bigint, " + ", ".join(f"{c} double" for c in parts))
+        by_size = weighed.groupBy("size").agg(*(F.sum(c).alias(c) for c in parts)).toPandas()
+        boundary = choose_boundary(by_size)
+        boundary = SIZES if len(by_size) and boundary == by_size["size"].max() else boundary
+    last = boundary if boundary < SIZES else 1 << 30
+    some_large = last < 1 << 30
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys of the sets: 0 a run alone of a small set, 1 a run of a large set, 2 a run of a small set that only large sets look for, 3 a pair of runs of a small set."""
+        for whole in batches:
+            for start in range(0, len(whole), 500):
+                batch = whole.slice(start, 500)
+                if not len(batch):
+                    continue
+                name, (size, owner, at, run) = batch.column(0).to_numpy(), prefixes(batch.column(1), 1)
+                own = at < _prefix(size, similarity)[owner]
+                small = ((size >= least) & (size <= last))[owner]
+                links = posted.value[run & (COUNTERS - 1)]
+                long = links > short
+                kind = np.where(~small, 1, np.where(long, 2, 0))
+                one = np.flatnonzero(own & ((kind != 2) | some_large))
+                # each long run of a small set with each run behind it
+                first = np.flatnonzero(own & small & long)
+                ends = np.searchsorted(owner, owner[first], "right")
+                times = ends - first - 1
+                a = np.repeat(first, times)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+                both = (run[a].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ run[b].view(np.uint64)
+                both = (both ^ (both >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+                row = np.concatenate([one, a])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([run[one], both.view(np.int64)])),
+                        pa.array(name[owner[row]]),
+                        pa.array(size[owner[row]].astype(np.int32)),
+                        pa.array(at[row].astype(np.int32)),
+                        pa.array(np.concatenate([kind[one], np.full(len(a), 3)]).astype(np.int32)),
+                        pa.array((1 + links[row] // part).astype(np.int32)),
+                    ],
+                    ["k", "class", "size", "pos", "kind", "parts"],
+                )
+
+    def meet(left: DataFrame, right: DataFrame, keys: list[str], which) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
-        least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - F.lit(1e-6))
-        reach = F.least("a.pos", "b.pos") + F.lit(1) + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) - F.lit(1)
-        near = (F.least("a.size", "b.size") >= F.lit(similarity) * F.greatest("a.size", "b.size") - F.lit(1e-6)) & (reach >= least)
-        return a.join(b, (F.col("a.k") == F.col("b.k")) & which & near).select(F.least("a.class", "b.class").alias("class_a"), F.greatest("a.class", "b.class").alias("class_b"))
-
-    lists = keys(False)
-    pairs = meet(lists.where("large"), lists, (F.col("a.class") != F.col("b.class")) & (~F.col("b.large") | (F.col("a.class") < F.col("b.class"))))
-    if last >= first:
-        subsets = keys(True)
-        pairs = pairs.unionAll(meet(subsets, subsets, F.col("a.class") < F.col("b.class")))
+        enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - F.lit(1e-6))
+        reach = F.least("a.pos", "b.pos") + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+        near = (F.least("a.size", "b.size") >= F.lit(similarity) * F.greatest("a.size", "b.size") - F.lit(1e-6)) & (reach >= enough)
+        for k in keys:
+            near = near & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        return a.join(b, which & near).select(F.least("a.class", "b.class").alias("class_a"), F.greatest("a.class", "b.class").alias("class_b"))
+
+    sent = sets.select("class", "runs").mapInArrow(emit, "k bigint, class bigint, size int, pos int, kind int, parts int")
+    # Both sides are the same, so that they are made and sent once.
+    of_small = sent.where("kind in (0, 3)").select("k", "class", "size", "pos") if some_large else sent.select("k", "class", "size", "pos", "kind")
+    pairs = meet(of_small, of_small, ["k"] if some_large else ["k", "kind"], F.col("a.class") < F.col("b.class"))
+    if some_large:
+        # A long list lies in parts, and each large set goes through all of them.
+        looking = sent.where("kind = 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        lists = sent.where("kind < 3").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+        pairs = pairs.unionAll(meet(looking, lists, ["k", "part"], (F.col("a.class") != F.col("b.class")) & ((F.col("b.kind") != 1) | (F.col("a.class") < F.col("b.class")))))
     pairs = pairs.distinct()
     a, b = sets.select(F.col("class").alias("class_a"), F.col("runs").alias("runs_a")), sets.select(F.col("class").alias("class_b"), F.col("runs").alias("runs_b"))
     both = F.size(F.array_intersect("runs_a", "runs_b"))
     return pairs.join(a, "class_a").join(b, "class_b").where(both >= F.lit(similarity) * (F.size("runs_a") + F.size("runs_b") - both) - F.lit(1e-9)).select("class_a", "class_b")
 
 
-def near_duplicates(rows: DataFrame, *, key: str = "id", text: str = "content", run: int = RUN, similarity: float = SIMILARITY, least: int = WORDS, boundary: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, *, key: str = "id", text: str = "content", run: int = RUN, similarity: float = SIMILARITY, least: int = WORDS, boundary: int | None = None, short: int = SHORT, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(``class_a, class_b``: the pairs of similar classes; ``class, id``: the rows of each class).
 
     Words are maximal runs of ASCII letters, digits and underscores, without regard to case.  Texts that are null or
@@ -227,7 +242,7 @@ def near_duplicates(rows: DataFrame, *, key: str = "id", text: str = "content",
     runs are one class, named by its smallest key; a key that comes with several texts is in several classes.
     Repeated rows count once.  Other columns are ignored.  An empty table gives empty results."""
     sets, members = classes_of(rows, key=key, text=text, run=run, least=least)
-    return similar_classes(sets, similarity=similarity, boundary=boundary), members
+    return similar_classes(sets, similarity=similarity, boundary=boundary, short=short, part=part), members
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
