@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitquarry.llm.tokens import encode_corpus
-from unitquarry.session import cut
+from unitquarry.session import stored
 
 CAPACITY = 2048
-#: Items that are packed together, about; unused space that a finished container may have; rounds at most.
-SHARD, SLACK, ROUNDS = 20_000, 4, 6
+#: Items that are packed together, about; unused space that a finished container may have; share of the items that a round must finish, or it is the last.
+SHARD, SLACK, SHRINK = 20_000, 4, 0.05
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -100,7 +100,8 @@ def pack(items: DataFrame, *, key: str = "doc_id", size: str = "n_tokens", capac
 
     Plan: items fall into shards of bounded size by hash, each packed by one task: best fit first, then local
     search.  Full containers are done; the items of the others are dealt anew to fewer shards, until one shard
-    holds them all.  So the last, least filled containers don't add up over the shards."""
+    holds them all, or a round fills so few containers that the items can't do better.  So the last, least filled containers
+    don't add up over the shards."""
     spark = items.sparkSession
     kind = items.schema[key].dataType.simpleString()
     n = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
@@ -108,7 +109,7 @@ def pack(items: DataFrame, *, key: str = "doc_id", size: str = "n_tokens", capac
     whole = items.select(F.col(key).alias("key"), checked.cast("bigint").alias("n"))
     each = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity)).cast("int")))
     todo = whole.select("key", each.alias("piece_no"), "n").select("key", (F.col("piece_no") + 1).alias("piece_no"), (F.col("piece_no") * F.lit(capacity)).cast("bigint").alias("start"), F.least(F.col("n") - F.col("piece_no") * capacity, F.lit(capacity)).cast("bigint").alias("n"))
-    todo = cut(todo.withColumn("mix", F.xxhash64("key", "piece_no", F.monotonically_increasing_id())))
+    todo = stored(todo.withColumn("mix", F.xxhash64("key", "piece_no", F.monotonically_increasing_id())))
     count = todo.count()
     schema = f"shard bigint, bin bigint, fill bigint, key {kind}, piece_no int, start bigint, n bigint, mix bigint"
     done: DataFrame | None = None
@@ -123,19 +124,19 @@ def pack(items: DataFrame, *, key: str = "doc_id", size: str = "n_tokens", capac
         fill = np.bincount(where, sizes, len(bins)).astype(np.int64)
         return pdf.assign(bin=where, fill=fill[where])[["shard", "bin", "fill", "key", "piece_no", "start", "n", "mix"]]
 
-    for turn in range(ROUNDS):
+    turn, before = 0, None
+    while True:
         shards = max(1, -(-count // shard))
-        # the leftovers of the last rounds are few, so they meet in one shard at the latest then
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("mix", F.lit(turn)), F.lit(shards)))
-        packed = cut(dealt.repartition(min(shards, 10_000), "shard").groupBy("shard").applyInPandas(one, schema))
-        last = shards == 1 or turn == ROUNDS - 1
+        packed = stored(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(one, schema))
+        last = shards == 1 or (before is not None and count > (1 - SHRINK) * before)
         full = packed if last else packed.where(F.col("fill") >= capacity - SLACK)
         named = full.select((F.lit(turn) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 24) + F.col("bin")).cast("bigint").alias("container_id"), "key", "piece_no", "start", "n")
         done = named if done is None else done.unionAll(named)
         if last:
             break
         todo = packed.where(F.col("fill") < capacity - SLACK).drop("shard", "bin", "fill")
-        count = todo.count()
+        turn, before, count = turn + 1, count, todo.count()
     return done.toDF("container_id", key, "piece_no", "start", "n")
 
 

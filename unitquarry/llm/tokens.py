@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Where the vocabulary files are; every executor opens them there.
 VOCABULARIES = "/opt/tokenizers"
 TOKENIZER, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Bytes of text of a block, about.  The words of a block are looked up together.
-BLOCK = 4 << 20
+#: Bytes of text of a block, about, and of a task.  The words of a block are looked up together.
+BLOCK, TASK = 4 << 20, 128 << 20
 
 _BLANK = r"\t-\r \x85\xA0  -     　"
 #: The tokenizer's own split, with white space spelled out, as Java's \s is ASCII only.
@@ -59,7 +59,7 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     kind = docs.schema[key].dataType.simpleString()
     total = docs.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block))
-    width = min(10_000, max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    width = max(-(-total // TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = base.where(~strange).withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(width, "block").select("block", "key", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
     pairs = placed.select("block", F.explode("words").alias("word")).distinct()
     vocabulary = pairs.select("word").distinct().mapInArrow(_encode_with(path), "word string, ids array<int>")
@@ -102,5 +102,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-QUERIES = {"p6_ids": p6_ids}
-ORACLE: dict[str, str] = {}
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return decode_ids(p6_ids(spark, d), pieces(spark))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded}
+ORACLE = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
