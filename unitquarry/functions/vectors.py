@@ -25,7 +25,7 @@ def normalized(v: Column) -> Column:
 
 def usable(v: Column, dim: int) -> Column:
     """Whether ``v`` has ``dim`` numbers, not all of them zero; false for null."""
-    return F.coalesce((F.size(v) == dim) & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce((F.size(v) == dim) & ((F.array_max(v) != 0) | (F.array_min(v) != 0)), F.lit(False))
 
 
 @F.pandas_udf(BinaryType())
