@@ -12,6 +12,7 @@ def test_ids_equal_the_tokenizer(spark):
     want = sorted((i % 14, ids) for i, ids in enumerate(T._encoder(f"{T.VOCABULARIES}/{T.TOKENIZER}")([t or "" for t in TEXTS])))
     for block in (T.BLOCK, 50):
         assert sorted((r.doc_id, r.ids) for r in T.encode_corpus(df, block=block).collect()) == want
+        assert sorted((r.doc_id, r.n_tokens) for r in T.count_tokens(df, block=block).collect()) == sorted((i, len(ids)) for i, ids in want)
     assert T.encode_corpus(df.limit(0)).count() == 0
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitquarry.llm.tokens import encode_corpus
+from unitquarry.llm.tokens import count_tokens
 from unitquarry.session import stored
 
 CAPACITY = 2048
@@ -142,8 +142,7 @@ def pack(items: DataFrame, *, key: str = "doc_id", size: str = "n_tokens", capac
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Documents in containers of 2,048 tokens; a piece is the tokens from start_token on."""
-    ids = encode_corpus(spark.read.parquet(f"{d}/documents.parquet"))
-    return pack(ids.select("doc_id", F.size("ids").alias("n_tokens"))).withColumnsRenamed({"start": "start_token", "n": "n_tokens"})
+    return pack(count_tokens(spark.read.parquet(f"{d}/documents.parquet"))).withColumnsRenamed({"start": "start_token", "n": "n_tokens"})
 
 
 QUERIES = {"p7_containers": p7_containers}

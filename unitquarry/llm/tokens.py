@@ -5,16 +5,19 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitquarry.session import stored
+
 #: Where the vocabulary files are; every executor opens them there.
 VOCABULARIES = "/opt/tokenizers"
 TOKENIZER, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Bytes of text of a block, about, and of a task.  The words of a block are looked up together.
-BLOCK, TASK = 4 << 20, 128 << 20
+BLOCK, TASK = 8 << 20, 128 << 20
 
 _BLANK = r"\t-\r \x85\xA0  -     　"
 #: The tokenizer's own split, with white space spelled out, as Java's \s is ASCII only.
@@ -53,6 +56,15 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     distinct word of the corpus is encoded once, and goes back to the blocks that hold it, where ids are put in
     place by position.  So a frequent word costs one row per block, not one per occurrence.  A text with a
     character that the JVM's Unicode tables don't know yet is encoded as a whole instead, as its split may differ."""
+    return _encoded(docs, key, text, path, block, False).toDF(key, "ids")
+
+
+def count_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str = f"{VOCABULARIES}/{TOKENIZER}", block: int = BLOCK) -> DataFrame:
+    """``key, n_tokens``: how many ids ``encode_corpus`` gives, by the same way, but only numbers of ids are put in place."""
+    return _encoded(docs, key, text, path, block, True).toDF(key, "n_tokens")
+
+
+def _encoded(docs: DataFrame, key: str, text: str, path: str, block: int, counts: bool) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     strange = F.col("text").rlike(r"\p{Cn}")
@@ -61,26 +73,32 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     blocks = max(1, -(-total // block))
     width = max(-(-total // TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = base.where(~strange).withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(width, "block").select("block", "key", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    pairs = placed.select("block", F.explode("words").alias("word")).distinct()
-    vocabulary = pairs.select("word").distinct().mapInArrow(_encode_with(path), "word string, ids array<int>")
-    coded = pairs.join(vocabulary, "word").select(F.col("block").alias("home"), "word", "ids")
+    pairs = stored(placed.select("block", F.explode("words").alias("word")).distinct())
+    coded = pairs.select("word").distinct().mapInArrow(_encode_with(path), "word string, ids array<int>")
+    value, wanted = ("ids", "array<int>") if not counts else ("n", "int")
+    coded = pairs.join(coded.select("word", F.size("ids").alias("n") if counts else F.col("ids")), "word").select(F.col("block").alias("home"), "word", value)
 
     def put(texts: pa.Table, table: pa.Table) -> pa.Table:
         out = []
-        known, ids = table.column("word").combine_chunks(), table.column("ids").combine_chunks()
+        known, own = table.column("word").combine_chunks(), table.column(value).combine_chunks()
         for keys, words in zip(texts.column("key").chunks, texts.column("words").chunks):
             for at in range(0, len(words), 512):
                 some = words.slice(at, 512)
                 place = pc.index_in(some.flatten(), value_set=known) if len(known) else pa.array([], pa.int32())
-                mine = ids.take(place)
+                mine = own.take(place)
                 # a document's ids begin where its first word's do
                 ends = pc.subtract(some.offsets, some.offsets[0])
-                out.append(pa.RecordBatch.from_arrays([keys.slice(at, 512), pa.ListArray.from_arrays(mine.offsets.take(ends), mine.values)], ["key", "ids"]))
-        return pa.Table.from_batches(out) if out else pa.table({"key": texts.column("key"), "ids": pa.array([], pa.list_(pa.int32()))})
-
-    usual = placed.groupBy("block").cogroup(coded.groupBy("home")).applyInArrow(put, f"key {kind}, ids array<int>")
-    rare = base.where(strange).mapInArrow(_encode_with(path), f"key {kind}, text string, ids array<int>").select("key", "ids")
-    return usual.unionAll(rare).toDF(key, "ids")
+                if counts:
+                    sums = np.concatenate([[0], np.cumsum(mine.to_numpy())])[ends.to_numpy()]
+                    done = pa.array(np.diff(sums), pa.int32())
+                else:
+                    done = pa.ListArray.from_arrays(mine.offsets.take(ends), mine.values)
+                out.append(pa.RecordBatch.from_arrays([keys.slice(at, 512), done], ["key", "out"]))
+        return pa.Table.from_batches(out) if out else pa.table({"key": texts.column("key"), "out": pa.array([], pa.int32() if counts else pa.list_(pa.int32()))})
+
+    usual = placed.groupBy("block").cogroup(coded.groupBy("home")).applyInArrow(put, f"key {kind}, out {wanted}")
+    rare = base.where(strange).mapInArrow(_encode_with(path), f"key {kind}, text string, ids array<int>")
+    return usual.unionAll(rare.select("key", F.size("ids") if counts else F.col("ids")))
 
 
 def pieces(spark: SparkSession, path: str = f"{VOCABULARIES}/{PIECES}") -> DataFrame:
