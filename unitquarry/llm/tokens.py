@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitquarry.session import stored
-
 #: Where the vocabulary files are; every executor opens them there.
 VOCABULARIES = "/opt/tokenizers"
 TOKENIZER, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Bytes of text of a block, about, and of a task.  The words of a block are looked up together.
 BLOCK, TASK = 8 << 20, 128 << 20
+#: Blocks whose rows of one word go to one task.
+PART = 4096
 
 _BLANK = r"\t-\r \x85\xA0  -     　"
 #: The tokenizer's own split, with white space spelled out, as Java's \s is ASCII only.
@@ -52,8 +52,8 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     Null and empty texts give an empty list.  Every row comes out, repeated and null keys included.  Other columns
     are ignored; an empty table gives an empty result.
 
-    Plan: rows are laid out in blocks, words are split in the JVM.  Each block sends its distinct words only; each
-    distinct word of the corpus is encoded once, and goes back to the blocks that hold it, where ids are put in
+    Plan: rows are laid out in blocks, words are split in the JVM.  Each block sends its distinct words only; these
+    are sorted, each distinct word is encoded once (once for PART blocks), and goes back to the blocks that hold it, where ids are put in
     place by position.  So a frequent word costs one row per block, not one per occurrence.  A text with a
     character that the JVM's Unicode tables don't know yet is encoded as a whole instead, as its split may differ."""
     return _encoded(docs, key, text, path, block, False).toDF(key, "ids")
@@ -73,10 +73,20 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, block: int, counts
     blocks = max(1, -(-total // block))
     width = max(-(-total // TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = base.where(~strange).withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(width, "block").select("block", "key", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    pairs = stored(placed.select("block", F.explode("words").alias("word")).distinct())
-    coded = pairs.select("word").distinct().mapInArrow(_encode_with(path), "word string, ids array<int>")
+    pairs = placed.select(F.col("block").alias("home"), F.explode("words").alias("word")).distinct()
     value, wanted = ("ids", "array<int>") if not counts else ("n", "int")
-    coded = pairs.join(coded.select("word", F.size("ids").alias("n") if counts else F.col("ids")), "word").select(F.col("block").alias("home"), "word", value)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in batches:
+            encoder = encoder or _encoder(path)
+            words = batch.column(1).dictionary_encode()
+            ids = encoder(words.dictionary.to_pylist())
+            own = pa.array(map(len, ids), pa.int32()) if counts else pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.take(words.indices)], ["home", "word", value])
+
+    # The rows of a word lie beside each other, so that it is encoded once; those of a word that nearly all blocks have are dealt by their blocks.
+    coded = pairs.repartition("word", F.floor(F.col("home") / PART)).sortWithinPartitions("word").mapInArrow(encode, f"home int, word string, {value} {wanted}")
 
     def put(texts: pa.Table, table: pa.Table) -> pa.Table:
         out = []
