@@ -31,6 +31,18 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert len(pairs(N.nearest(df)) & want) / len(want) > 0.95
 
 
+def test_recall_with_more_cells_than_the_sample_gives(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(500, 64)), 6, 0) + 0.3 * rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in enumerate(x)], SCHEMA)
+    monkeypatch.setattr(N, "CELL", 40)
+    index = N.Index(x[:256].astype(np.float32), 3000)
+    home, row, cell = index.visits(N._unit(x))
+    assert len(index.shifts) == 3 and len(index.centres) == 32 and set(zip(range(3000), home)) <= set(zip(row, cell))
+    want = exact(np.arange(3000), x.astype(np.float32))
+    assert len(pairs(N.nearest(df, sample_rows=256)) & want) / len(want) > 0.9
+
+
 def test_unusable_copies_and_few_rows(spark):
     e = np.eye(64)
     rows = [(1, None), (2, []), (3, [0.0] * 64), (4, [1.0] * 32), (5, [float("nan")] * 64)]

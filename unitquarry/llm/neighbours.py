@@ -20,6 +20,8 @@ DIM, K = 64, 5
 SAMPLE, CELL, BLOCK, VISITORS = 32768, 6000, 16000, 32768
 #: Keys that the copies of one vector are spread over.
 SALTS = 8
+#: Shifts of the centres, at most, where there are more cells than the sample can give.
+SHIFTS = 256
 #: Codebooks, codewords of each, width of the beam, candidates reranked for a query and cell.
 BOOKS, WORDS, BEAM, RERANK = 6, 256, 4, 32
 #: A query visits the cells whose centre is at most this much less similar to it than the nearest centre.
@@ -53,12 +55,14 @@ class Index:
         x = _unit(sample)
         cells = max(1, min(round(rows / CELL), len(x) // 8))
         self.centres = _kmeans(x, cells, 12, rng, True)
-        home = (x @ self.centres.T).argmax(1)
-        share = np.bincount(home, minlength=len(self.centres)) / len(x)
-        self.blocks = np.maximum(1, np.ceil(share * rows / BLOCK)).astype(np.int64)
-        came = np.bincount(self.visits(x)[2], minlength=len(self.centres)) / len(x)
-        self.visitors = np.maximum(1, np.ceil(came * rows / VISITORS)).astype(np.int64)
-        rest, self.books = x - self.centres[home], []
+        # More cells than the sample can give are made of the centres and of shifts that all of them share.
+        rest = x - self.centres[(x @ self.centres.T).argmax(1)]
+        shifts = min(SHIFTS, -(-round(rows / CELL) // cells))
+        self.shifts = _kmeans(rest, shifts, 12, rng, False) if shifts > 1 else np.zeros((1, x.shape[1]), np.float32)
+        home, _, cell = self.visits(x)
+        least = lambda c, size: np.maximum(1, np.ceil(np.bincount(c, minlength=len(self.centres) * len(self.shifts)) / len(x) * rows / size)).astype(np.int64)
+        self.blocks, self.visitors = least(home, BLOCK), least(cell, VISITORS)
+        rest, self.books = x - self.centres[home // len(self.shifts)], []
         for _ in range(BOOKS):
             book = _kmeans(rest, WORDS, 8, rng, False)
             self.books.append(book)
@@ -67,7 +71,7 @@ class Index:
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the vectors and half the squared norms of what the codes stand for, by beam search over the books."""
         n = len(x)
-        rest = (x - self.centres[home])[:, None, :]
+        rest = (x - self.centres[home // len(self.shifts)])[:, None, :]
         codes = np.zeros((n, 1, 0), np.uint8)
         every = np.arange(n)[:, None]
         for book in self.books:
@@ -82,11 +86,19 @@ class Index:
         return codes[:, 0], 0.5 * ((x - rest[:, 0]) ** 2).sum(1)
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Home cells, and (row, cell) of all visits."""
+        """Home cells, and (row, cell) of all visits: the cells whose middle is at most MARGIN less similar than the nearest one."""
         z = x @ self.centres.T
-        home = z.argmax(1)
-        row, cell = np.nonzero(z >= z[np.arange(len(x)), home][:, None] - MARGIN)
-        return home, row, cell
+        row, centre = np.nonzero(z >= z.max(1)[:, None] - MARGIN)
+        if len(self.shifts) == 1:
+            return z.argmax(1), row, centre
+        # half the squared distance to a centre with a shift is 1 less this
+        near = z[row, centre][:, None] + (x @ self.shifts.T)[row] + (0.5 - 0.5 * ((self.centres[centre][:, None, :] + self.shifts[None]) ** 2).sum(2))
+        begin = np.searchsorted(row, np.arange(len(x)))
+        best = np.maximum.reduceat(near.max(1), begin)
+        pick, shift = np.nonzero(near >= best[row][:, None] - MARGIN)
+        row, cell, score = row[pick], centre[pick] * len(self.shifts) + shift, near[pick, shift]
+        order = np.lexsort((cell, -score, row))
+        return cell[order][np.searchsorted(row, np.arange(len(x)))], row, cell
 
 
 def _search(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +161,7 @@ def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim:
     Plan: copies collapse in a map-side aggregate; each class is sent once to its home cell, with its code, and
     once to each cell whose centre is nearly as near.  A pair that meets in any cell counts for both its ends, so
     a neighbour is missed only if neither end visits the other's cell.  Members and visitors of a cell meet block by block, so
-    that tasks are bounded.  There are at most ``sample_rows`` / 8 cells: more rows than that many times CELL want a larger sample."""
+    that tasks are bounded.  Cells stay at CELL members up to SHIFTS times ``sample_rows`` / 8 of them."""
     spark = rows.sparkSession
     usable = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vec")).where(
         F.col("id").isNotNull() & (F.size("vec") == dim) & F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
