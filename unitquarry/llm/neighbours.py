@@ -20,6 +20,8 @@ DIM, K = 64, 5
 SAMPLE, CELL, BLOCK, VISITORS = 32768, 6000, 16000, 32768
 #: Keys that the copies of one vector are spread over.
 SALTS = 8
+#: Tasks that search cells, for each partition of a shuffle.
+SPREAD = 4
 #: Shifts of the centres, at most, where there are more cells than the sample can give.
 SHIFTS = 256
 #: Codebooks, codewords of each, width of the beam, candidates reranked for a query and cell.
@@ -234,7 +236,9 @@ def nearest(rows: DataFrame, *, key: str = "id", vector: str = "embedding", dim:
         return pd.DataFrame({"id": ids[a], "own": own[a], "other": ids[b], "others": own[b], "cosine": s[keep]})
 
     placed = kinds.mapInArrow(place, "cell bigint, id bigint, vec binary, code binary, own array<bigint>, visit boolean")
-    found = placed.groupBy("cell").applyInPandas(search, "id bigint, own array<bigint>, other bigint, others array<bigint>, cosine float")
+    # Cells are few and cost much, so that they are dealt to more tasks than rows need: else some tasks get several cells and others none.
+    dealt = placed.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
+    found = dealt.groupBy("cell").applyInPandas(search, "id bigint, own array<bigint>, other bigint, others array<bigint>, cosine float")
     found = found.repartition("id").dropDuplicates(["id", "other"])
     order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
