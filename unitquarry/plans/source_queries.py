@@ -5,13 +5,18 @@ from pyspark.sql import functions as F
 from unitquarry.functions import text as T
 from unitquarry.operators import chunker, parsing
 from unitquarry.plans.source_sql import ORACLE  # noqa: F401
-from unitquarry.sources.tables import table
+from unitquarry.sources.tables import spread, table
 
 
 def _files(spark, d):
     return table(spark, d, "source_files")
 
 
+def _worked(spark, d):
+    """The files, for work in Python."""
+    return spread(_files(spark, d))
+
+
 def _texts(spark, d):
     """Files with their lines as an array, so that what is counted per file needs no exchange."""
     return _files(spark, d).where("source_text is not null").select("file_id", T.lines(F.col("source_text")).alias("l"))
@@ -86,22 +91,22 @@ def str_trim(spark, d):
 
 
 def chunk_types(spark, d):
-    return chunker.chunk_files(_files(spark, d)).where("chunk_type = 'type'")
+    return chunker.chunk_files(_worked(spark, d)).where("chunk_type = 'type'")
 
 
 def chunk_routines(spark, d):
-    return chunker.chunk_files(_files(spark, d)).where("chunk_type = 'routine'")
+    return chunker.chunk_files(_worked(spark, d)).where("chunk_type = 'routine'")
 
 
 def index_resume(spark, d):
     """The chunks of the source files that a store still lacks which holds as many of a scope as the given one does."""
     have = table(spark, d, "chunks").groupBy("library", "version").agg(F.count(F.lit(1)).alias("chunks"))
-    placed = chunker.ordinals(chunker.chunk_files(_files(spark, d)))
+    placed = chunker.ordinals(chunker.chunk_files(_worked(spark, d)))
     return chunker.to_index(placed, have).select("file_id", "ordinal", "place", "library", "version", "identifier")
 
 
 def lex_kinds(spark, d):
-    return parsing.token_kinds(_files(spark, d))
+    return parsing.token_kinds(_worked(spark, d))
 
 
 def _marks(files):
@@ -109,51 +114,51 @@ def _marks(files):
 
 
 def directive_regions(spark, d):
-    return _marks(_files(spark, d))[0]
+    return _marks(_worked(spark, d))[0]
 
 
 def directive_diagnostics(spark, d):
     """What is said of the files if a third of them ends with an end too many, and a third with a start."""
     more = F.when(F.col("file_id") % 3 == 1, F.lit("\n{$ENDIF}")).when(F.col("file_id") % 3 == 2, F.lit("\n{$IFDEF OPEN}")).otherwise(F.lit(""))
-    return _marks(_files(spark, d).withColumn("source_text", F.concat("source_text", more)))[1]
+    return _marks(_worked(spark, d).withColumn("source_text", F.concat("source_text", more)))[1]
 
 
 def unit_structure(spark, d):
-    return parsing.nodes(_files(spark, d)).drop("visibility")
+    return parsing.nodes(_worked(spark, d)).drop("visibility")
 
 
 def unit_report(spark, d):
-    return parsing.unit_report(_files(spark, d))
+    return parsing.unit_report(_worked(spark, d))
 
 
 def declaring_type(spark, d):
     """Of each member of a type the type that declares it, null for what no type declares."""
-    return parsing.declaring_types(parsing.nodes(_files(spark, d), deep=True))
+    return parsing.declaring_types(parsing.nodes(_worked(spark, d), deep=True))
 
 
 def symbol_signature(spark, d):
-    return parsing.symbols(parsing.nodes(_files(spark, d)))
+    return parsing.symbols(parsing.nodes(_worked(spark, d)))
 
 
 def symbol_members(spark, d):
-    return parsing.symbols(parsing.nodes(_files(spark, d), deep=True))
+    return parsing.symbols(parsing.nodes(_worked(spark, d), deep=True))
 
 
 def parse_result(spark, d):
     """What a parse gives of each file, as text: nodes with their parents, signatures, codes, whether something was cut."""
-    r = parsing.parse_results(_files(spark, d), most_nodes=12, most_symbols=3)
+    r = parsing.parse_results(_worked(spark, d), most_nodes=12, most_symbols=3)
     node = lambda n: F.concat_ws(" ", n["id"], F.coalesce(n["parent_id"], F.lit("-")), n["kind"], n["name"])
     joined = lambda c, f, name: F.array_join(F.transform(c, f), "|").alias(name)
     return r.select("file_id", "unit_name", joined("nodes", node, "nodes"), joined("symbols", lambda x: x["signature"], "symbols"), joined("diagnostics", lambda x: x["code"], "codes"), "nodes_truncated", "symbols_truncated")
 
 
 def uses_units(spark, d):
-    return parsing.used_units(parsing.nodes(_files(spark, d)))
+    return parsing.used_units(parsing.nodes(_worked(spark, d)))
 
 
 def normal_form(spark, d):
     """A fingerprint of each file's normal form, with which files that differ in blanks only agree."""
-    return parsing.normalized(_files(spark, d)).select("file_id", F.md5("text").alias("md5"), F.length("text").cast("bigint").alias("size"))
+    return parsing.normalized(_worked(spark, d)).select("file_id", F.md5("text").alias("md5"), F.length("text").cast("bigint").alias("size"))
 
 
 QUERIES = {
