@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from unitquarry.session import stored
+from unitquarry.sources.tables import spread
 
 TURNS = 3
 #: Weight of doubt in a pattern's score, trust that accepts a key, and a pattern's score that accepts an unknown key.
@@ -346,12 +347,12 @@ def redact(docs: DataFrame, spans: DataFrame, *, key: str = "doc_id", text: str
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_personal(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/contributors.parquet"))
+    return find_personal(spread(spark.read.parquet(f"{d}/documents.parquet")), spark.read.parquet(f"{d}/contributors.parquet"))
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return redact(docs, find_personal(docs, spark.read.parquet(f"{d}/contributors.parquet")))
+    return redact(docs, find_personal(spread(docs), spark.read.parquet(f"{d}/contributors.parquet")))
 
 
 QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted}
