@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from unitquarry.engine import Engine
 from unitquarry.functions.embedding import HashingEmbedder, TransientError, embedded, transient, with_retry
 from unitquarry.operators import scopes, search, store
+from unitquarry.session import stored
+from unitquarry.sources.tables import spread
 from unitquarry.streaming.ingest import ingest_available
 
 CHUNKS = "id long, library string, version string, unit_name string, chunk_type string, identifier string, content string, visibility string, embedding array<float>"
@@ -133,6 +135,18 @@ def test_engine_indexes_resumes_and_streams(spark, tmp_path):
         assert store.read(spark, str(tmp_path / "u")).count() == n
 
 
+def test_tables_in_the_shared_folder_and_spread_scans(spark, tmp_path):
+    df = spark.range(5).selectExpr("id", "cast(null as string) as s", "array(id) as a")
+    back = stored(df)
+    assert back.dtypes == df.dtypes and sorted(back.collect()) == sorted(df.collect()) and stored(df.limit(0)).count() == 0
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
+    wide = spread(spark.read.parquet(str(tmp_path / "t")))
+    cores = spark.sparkContext.defaultParallelism
+    assert wide.rdd.getNumPartitions() == cores and wide.count() == 5 and spread(wide) is wide
+    plan = wide.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan
+
+
 def test_retry():
     calls, waits = [], []
 

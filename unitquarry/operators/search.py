@@ -63,7 +63,7 @@ def _nearest(chunks: DataFrame, queries: DataFrame, k: int | Column, scoped: boo
     version = F.col("version") if scoped and "version" in queries.columns else F.lit(None).cast("string")
     wanted = (F.lit(k) if isinstance(k, int) else k).cast("int")
     q = queries.select("query_id", F.col("library") if scoped else F.lit("").alias("library"), version.alias("version"), "embedding", wanted.alias("k")).where(usable(F.col("embedding"), dim) & (F.col("k") > 0) & F.col("library").isNotNull())
-    c = chunks.select("id", F.col("library") if scoped else F.lit("").alias("library"), F.col("version") if scoped else F.lit(None).cast("string").alias("version"), "embedding").where(usable(F.col("embedding"), dim) & F.col("library").isNotNull())
+    c = chunks.select("id", F.col("library") if scoped else F.lit("").alias("library"), F.col("version") if scoped and "version" in chunks.columns else F.lit(None).cast("string").alias("version"), "embedding").where(usable(F.col("embedding"), dim) & F.col("library").isNotNull())
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, k int, id bigint, base_distance double"
     if q.limit(block + 1).count() <= block:

@@ -37,12 +37,6 @@ def _folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, so that a lost executor costs no recomputation."""
-    _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession) -> str:
     """A new place in the shared folder, which is cleared when the session ends."""
     path = f"{_folder(spark)}/{uuid.uuid4().hex}.parquet"
@@ -52,7 +46,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table and read again: as lasting as a checkpoint, but compressed, and read by column."""
+    """``df`` written to the shared folder as a table and read again, so that lineage ends there and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
