@@ -180,7 +180,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame([{"item": x.item, "range_no": x.range_no, **scan_range(x.data, x.head, x.tail)} for x in pdf.itertuples()], columns=["item", "range_no", "units", "lines", "after", "offsets", "is_line", "classes", "skip"])
+        yield pd.DataFrame([{"item": x.item, "range_no": x.range_no, "tail": x.tail, **scan_range(x.data, x.head, x.tail)} for x in pdf.itertuples()], columns=["item", "range_no", "tail", "units", "lines", "after", "offsets", "is_line", "classes", "skip"])
 
 
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -224,8 +224,12 @@ def split_ranges(ranges: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLA
     Plan: the boundaries of the ranges are written as a table.  Only a few numbers per range are put together by item; what is
     worked on at once are a stretch's boundaries, and the text of a range."""
     kind = ranges.schema["item"].dataType.simpleString()
-    scanned = stored(ranges.mapInPandas(_scan, f"item {kind}, range_no int, units bigint, lines bigint, after array<int>, offsets array<bigint>, is_line array<boolean>, classes array<array<int>>, skip int"))
-    placed = spread(scanned.select("item", "range_no", "units", "lines", "after"), "item").groupBy("item").applyInPandas(_stitch, f"item {kind}, range_no int, state int, at bigint, line_at bigint, total bigint")
+    scanned = stored(ranges.mapInPandas(_scan, f"item {kind}, range_no int, tail int, units bigint, lines bigint, after array<int>, offsets array<bigint>, is_line array<boolean>, classes array<array<int>>, skip int"))
+    # Most texts are one range, of which nothing has to be put together.
+    alone = (F.col("range_no") == 0) & (F.col("tail") == 0)
+    several = spread(scanned.where(~alone).select("item", "range_no", "units", "lines", "after"), "item").groupBy("item").applyInPandas(_stitch, f"item {kind}, range_no int, state int, at bigint, line_at bigint, total bigint")
+    none = F.lit(0).cast("bigint")
+    placed = scanned.where(alone).select("item", "range_no", F.lit(0).alias("state"), none.alias("at"), none.alias("line_at"), F.col("units").alias("total")).unionAll(several)
     per = STRETCH
     # The ranges at the borders of a stretch are its neighbours' as well.
     own = F.floor(F.col("range_no") / per).cast("int")
