@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from unitquarry.engine import Engine
 from unitquarry.functions.embedding import HashingEmbedder, TransientError, embedded, transient, with_retry
 from unitquarry.operators import scopes, search, store
+from unitquarry.plans import search_queries
 from unitquarry.session import stored
 from unitquarry.sources.tables import spread
 from unitquarry.streaming.ingest import ingest_available
 
+SMOKE = "/root/testdata/sf0.001"
 CHUNKS = "id long, library string, version string, unit_name string, chunk_type string, identifier string, content string, visibility string, embedding array<float>"
 
 
@@ -58,6 +60,23 @@ def test_candidates_in_blocks_ties_and_odd_vectors(spark):
     assert search.candidates(c, q.limit(0), k=3).count() == 0 and search.candidates(c.limit(0), q, k=3).count() == 0
 
 
+@pytest.mark.parametrize("part", ["cast(1 as int) as turn"])
+def test_queries_with_struct_ids_in_blocks(spark, part):
+    rng = np.random.default_rng(2)
+    c = spark.createDataFrame([chunk(i, rng.normal(size=64).tolist(), library="ab"[i % 2]) for i in range(60)], CHUNKS)
+    q = c.selectExpr("id", part, "library", "embedding").select(F.struct("id", part.split()[-1]).alias("query_id"), "library", "embedding")
+    few, many = (sorted((tuple(r.query_id), r.id, r.base_distance, r.base_rank) for r in search.candidates(c, q, k=3, block=b).collect()) for b in (4096, 7))
+    assert few == many and len(few) == 180
+
+
+@pytest.mark.parametrize("name", ["compare_markdown"])
+def test_compared_and_fanned_out_queries_beyond_one_block(spark, monkeypatch, name):
+    run = lambda: sorted(map(repr, search_queries.QUERIES[name](spark, SMOKE).collect()))
+    few = run()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+    assert few and run() == few
+
+
 def test_lookup_prefers_the_longest_and_reports_misses(spark):
     c = spark.createDataFrame([chunk(1, None, content="short"), chunk(2, None, content="much longer"), chunk(3, None, content="much longer"), chunk(4, None, ident="tx")], CHUNKS)
     names = spark.createDataFrame([("a", "TX", None, None), ("b", "TX", "other", None), ("c", None, None, None)], "query_id string, text string, library string, version string")

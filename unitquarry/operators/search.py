@@ -80,7 +80,8 @@ def _nearest(chunks: DataFrame, queries: DataFrame, k: int | Column, scoped: boo
 
         def meet(own: pa.Table, rows: pa.Table) -> pa.Table:
             out = list(_best(own.select(["query_id", "library", "version", "embedding", "k"]), rows.select(["_id", "_library", "_version", "_embedding"]).to_batches(), dim))
-            return pa.Table.from_batches(out) if out else empty
+            # ids that are structs come without nulls, which Spark takes for another type than that of the schema
+            return pa.Table.from_batches(out).cast(empty.schema) if out else empty
 
         empty = pa.Table.from_batches([], to_arrow_schema(_parse_datatype_string(schema)))
         found = q.groupBy("library", "b", "s").cogroup(c.groupBy("_library", "_b", "_s")).applyInArrow(meet, schema)
