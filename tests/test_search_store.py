@@ -60,7 +60,7 @@ def test_candidates_in_blocks_ties_and_odd_vectors(spark):
     assert search.candidates(c, q.limit(0), k=3).count() == 0 and search.candidates(c.limit(0), q, k=3).count() == 0
 
 
-@pytest.mark.parametrize("part", ["cast(1 as int) as turn"])
+@pytest.mark.parametrize("part", ["cast(1 as int) as turn", "cast(1 as bigint) as pos"])
 def test_queries_with_struct_ids_in_blocks(spark, part):
     rng = np.random.default_rng(2)
     c = spark.createDataFrame([chunk(i, rng.normal(size=64).tolist(), library="ab"[i % 2]) for i in range(60)], CHUNKS)
@@ -69,7 +69,7 @@ def test_queries_with_struct_ids_in_blocks(spark, part):
     assert few == many and len(few) == 180
 
 
-@pytest.mark.parametrize("name", ["compare_markdown"])
+@pytest.mark.parametrize("name", ["compare_markdown", "fanout_search"])
 def test_compared_and_fanned_out_queries_beyond_one_block(spark, monkeypatch, name):
     run = lambda: sorted(map(repr, search_queries.QUERIES[name](spark, SMOKE).collect()))
     few = run()
