@@ -145,3 +145,30 @@ def test_copies_of_packages_that_upstream_lacks(spark):
     files = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "file_id long, library string, file_path string, source_text string")
     out = H.not_handwritten(files, spark.createDataFrame([(t, "P") for t in foreign], "source_text string, package string")).collect()
     assert {rows[r.file_id][0]: r.reason for r in out} == {r[0]: "vendored" for r in rows if r[0].startswith(("known", "kit", "extern", "shared"))}
+
+
+def test_copies_of_a_unit_that_many_packages_have(spark):
+    rng = random.Random(12)
+    shared, own, part = unit(rng, 120), [unit(rng) for _ in range(7)], unit(rng, 240)
+    up = [(t, f"P{i}") for i, t in enumerate(own)] + [(shared, f"P{i}") for i in range(7)]
+    files = {"copy": shared.replace("Hand", "Renamed"), "one": own[3], "hand": part}
+    rows = [(i, files[n]) for i, n in enumerate(files)]
+    out = H.not_handwritten(spark.createDataFrame(rows, "file_id long, source_text string"), spark.createDataFrame(up, "source_text string, package string")).collect()
+    assert {list(files)[r.file_id]: r.reason for r in out} == {"copy": "vendored", "one": "vendored"}
+
+
+def test_copies_are_those_of_any_one_package(spark):
+    rng = random.Random(13)
+    widespread = lambda r: 0.9 if r < 20 else 0.4 if r < 60 else 0.05
+    packages = {p: {r for r in range(120) if rng.random() < widespread(r)} | {120 + p, 121 + p} for p in range(40)} | {40 + p: {900, 901} for p in range(9)}
+    files = []
+    for i in range(300):
+        mine = rng.sample(sorted(packages[rng.randrange(40)]), 6 if i % 2 else 14) if i % 3 else rng.sample(range(120), 12)
+        rules = [(r, rng.randrange(4, 30)) for r in [*mine, *rng.sample(range(200, 400), 12), *([mine[0]] if i % 5 else []), *([900] if i % 7 == 0 else [])]]
+        files.append((i, int(sum(n for _, n in rules) * rng.choice([0.4, 1.0, 1.5, 2.0])), rules))
+    want = {i for i, t, rules in files if any(sum(n for r, n in rules if r in p) >= H.COPIED * t for p in packages.values())}
+    each = spark.createDataFrame([(i, t, r, n) for i, t, rules in files for r, n in rules], "id long, tokens int, rule long, size int")
+    foreign = spark.createDataFrame([(r, p) for p, rules in packages.items() for r in rules], "rule long, package long")
+    assert 100 < len(want) < 200
+    assert {r.id for r in H._copies(each, foreign).collect()} == want
+    assert H._copies(each.limit(0), foreign).count() == 0 and H._copies(each, foreign.limit(0)).count() == 0

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from unitquarry.session import stored
 from unitquarry.sources.tables import spread
@@ -31,8 +32,6 @@ HARD, HARD_LEFT, LITERAL = 0.8, 80, 0.5
 DENSE, STATEMENTS, MACHINE, NAMES = 2, 8, 0.25, 8
 #: Share of a file's tokens in rules of one foreign package that makes it a copy; rounds of the shared grammar.
 COPIED, LEVELS = 0.3, 6
-#: Packages that may share a rule which tells copies of them.
-PACKAGES = 4
 #: Tokens of a rule that counts when libraries share it, at least.
 LONG = 8
 #: A folder, or a run of words that names one in a file's first comments, tells copies if so many files have it, so many of them found copied, so great a share; turns in which copies found so tell further marks.
@@ -269,6 +268,28 @@ def features(files: DataFrame, *, key: str, text: str, path: str | None = None,
     return rows.where(F.col("text").isNotNull() & F.col("id").isNotNull()).mapInArrow(read, _FEATURES)
 
 
+def _copies(each: DataFrame, foreign: DataFrame) -> DataFrame:
+    """``id`` of the files with rules ``id, tokens, rule, size`` that have enough of their tokens in rules of one of the packages of ``foreign`` (``rule, package``, distinct).
+
+    However many packages share a rule, it counts for each of them.  Rules that the same packages have are one set; where
+    a file has enough in one set, packages needn't be told apart.  Else the sets that most packages have, so many of them that
+    they aren't enough together, can't make a copy alone: only packages that have one of the file's other sets are met, and
+    the widespread ones are counted for these."""
+    enough = F.lit(COPIED) * F.col("tokens")
+    sets = foreign.groupBy("rule").agg(F.count(F.lit(1)).alias("packages"), F.xxhash64(F.count(F.lit(1)), F.bit_xor("package"), F.bit_xor(F.xxhash64("package"))).alias("set"))
+    members = sets.groupBy("set").agg(F.min("rule").alias("rule")).join(foreign, "rule").select("set", "package")
+    whole = Window.partitionBy("id", "tokens")
+    so_far = whole.orderBy(F.col("packages").desc(), "set").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = each.join(sets, "rule").groupBy("id", "tokens", "set", "packages").agg(F.sum("size").alias("size"))
+    met = met.select("id", "tokens", "set", "size", F.sum("size").over(whole).alias("all"), F.max("size").over(whole).alias("most"), F.sum("size").over(so_far).alias("so_far"))
+    met = stored(met.where(F.col("all") >= enough))
+    unsure = met.where(F.col("most") < enough)
+    rare = unsure.where(F.col("so_far") >= enough).join(members, "set").groupBy("id", "tokens", "package").agg(F.sum("size").alias("size"))
+    common = unsure.where(F.col("so_far") < enough).select("id", "tokens", "set", F.col("size").alias("more"))
+    both = rare.join(common, ["id", "tokens"]).join(members, ["set", "package"]).groupBy("id", "tokens", "package").agg((F.first("size") + F.sum("more")).alias("size"))
+    return met.where(F.col("most") >= enough).select("id").unionByName(rare.unionByName(both).where(F.col("size") >= enough).select("id"))
+
+
 def _by_origin(files: DataFrame) -> DataFrame:
     """``id, vendored`` (true) of ``id, library, origin, vendored`` whose flag is set or whose marks of origin go with the flag.
 
@@ -291,20 +312,17 @@ def not_handwritten(files: DataFrame, upstream: DataFrame, *, key: str = "file_i
     if any of them is found.  ``upstream`` has the foreign packages' units; null texts there are ignored.  ``files`` may
     lack ``path`` and ``library``; other columns are ignored; an empty table gives an empty result.
 
-    Plan: one pass over the texts, which are not sent; rules of files and packages meet in an equi-join of which
-    Spark sends the packages' side to all tasks if it is small; libraries' rules are counted per rule and met again by
+    Plan: one pass over the texts, which are not sent; rules of files and of packages, each once whatever the number of packages
+    that have it, meet in an equi-join of which Spark sends the packages' side to all tasks if it is small; libraries' rules are counted per rule and met again by
     an equi-join; comment phrases, folders and first comments are counted over all files before anything is sent for
     them."""
     found = stored(features(files, key=key, text=text, path=path, library=library))
     shrunk = (F.col("tokens") >= TOKENS) & (F.col("left") + F.col("rules") < F.least(F.lit(1.4 * SHRUNK), F.lit(SHRUNK) * F.pow(F.lit(float(BASE)) / F.col("tokens"), F.lit(FALL))) * F.col("tokens"))
     dense = (F.col("statements") >= STATEMENTS) & (F.col("statements") >= F.lit(DENSE) * F.col("lines"))
     minified = dense | ((F.col("machine") >= NAMES) & (F.col("machine") >= F.lit(MACHINE) * F.col("names")))
-    foreign = features(upstream.withColumn("_u", F.xxhash64(package)), key="_u", text=text).select(F.col("id").alias("package"), F.explode("shared").alias("rule")).distinct()
-    # A rule that many packages share tells none of them, and would meet all files with all packages.
-    foreign = foreign.join(foreign.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= PACKAGES).select("rule"), "rule")
+    foreign = stored(features(upstream.withColumn("_u", F.xxhash64(package)), key="_u", text=text).select(F.col("id").alias("package"), F.explode("shared").alias("rule")).distinct())
     each = found.select("id", "tokens", F.explode(F.arrays_zip("shared", "sizes")).alias("r")).select("id", "tokens", F.col("r.shared").alias("rule"), F.col("r.sizes").alias("size"))
-    covered = each.join(foreign, "rule").groupBy("id", "tokens", "package").agg(F.sum("size").alias("size"))
-    known = covered.where(F.col("size") >= F.lit(COPIED) * F.col("tokens")).select("id")
+    known = _copies(each, foreign)
     long = found.where("library <> ''").select("id", "tokens", F.xxhash64("library").alias("lib"), F.explode(F.arrays_zip("shared", "sizes")).alias("r")).where(F.col("r.sizes") >= LONG).select("id", "tokens", "lib", F.col("r.shared").alias("rule"), F.col("r.sizes").alias("size"))
     wide = long.groupBy("rule").agg(F.min("lib").alias("lo"), F.max("lib").alias("hi")).where("lo <> hi").select("rule")
     alike = long.join(wide, "rule").groupBy("id", "tokens").agg(F.sum("size").alias("size")).where(F.col("size") >= F.lit(COPIED) * F.col("tokens")).select("id")
